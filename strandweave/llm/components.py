@@ -1,0 +1,35 @@
+"""Connected components of a table of links, by alternating star contractions.
+
+Each round hangs every node under the least node it sees; the links that remain shrink
+fast, so that the number of rounds grows with the logarithm of the longest chain. Links
+stay distributed, and each round is cut by a table in the shared folder.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from ..session import cut
+
+
+def connected_components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
+    """(node, component): the least node of its component, for every node of a link. Self links and repeats do no harm; an empty table gives an empty one."""
+    edges = links.select(F.col(a).alias("u"), F.col(b).alias("v")).filter("u <> v")
+    edges = cut(edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), "links")
+    while True:
+        # Large star: every larger neighbour of a node hangs under the least node around it.
+        both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
+        least = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
+        large = both.join(least, "u").filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u <> v").distinct()
+        # Small star: a node and its smaller neighbours hang under the least of them.
+        down = large.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
+        low = down.groupBy("u").agg(F.min("v").alias("m"))
+        under = down.join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(low.select("u", F.col("m").alias("v")))
+        after = cut(under.filter("u <> v").distinct(), "links")
+        same = after.count() == edges.count() and after.join(edges, ["u", "v"], "left_anti").isEmpty()
+        edges = after
+        if same:
+            break
+    roots = edges.select(F.col("v").alias("node")).distinct()
+    return edges.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(roots.select("node", F.col("node").alias("component"))).groupBy("node").agg(F.min("component").alias("component"))
