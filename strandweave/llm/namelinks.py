@@ -208,6 +208,8 @@ def parse_body(name: str) -> dict | None:
                     break
             if form:
                 break
+        if not form and "จำกัด" in name:
+            form = thai_sound("บริษัท")
         words = [w for w in re.split(r"[\s,()]+", rest) if w]
         return {"k": "thai", "f": form, "w": words} if words else None
     name = BRANCH.sub(" ", name)
