@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..sources.tables import table
-from . import garbling, leakage, lookalikes, namelinks, nearcopies, neighbours, packing, splitting
+from . import garbling, leakage, lookalikes, namelinks, nearcopies, neighbours, packing, scans, splitting
 
 SIZE, OVERLAP, CAPACITY, NEIGHBOURS = 800, 120, 2048, 5
 
@@ -40,6 +40,20 @@ def p1_ordinary(spark: SparkSession, sf: str) -> DataFrame:
     return lookalikes.look_alike_class(_looks(spark, sf), "text").select("record_table", "record_id", "ordinary", "class_id").distinct()
 
 
+def p2_restored(spark: SparkSession, sf: str) -> DataFrame:
+    """Every page and excerpt with the marks of scanning it bears and its text without them."""
+    pages = table(spark, sf, "ocr_pages")
+    excerpts = table(spark, sf, "entity_sources").groupBy(F.col("source_id").alias("record_id")).agg(F.min("excerpt").alias("text"))
+    records = pages.select(F.lit("ocr_pages").alias("record_table"), F.col("page_id").alias("record_id"), F.col("markdown").alias("text"))
+    records = records.unionByName(excerpts.select(F.lit("entity_sources").alias("record_table"), "record_id", "text"))
+    return scans.restore(records, "record_table", "record_id", "text", scans.file_headers(pages, "page_id", "file_id", "markdown"), "page_id")
+
+
+def p2_found(spark: SparkSession, sf: str) -> DataFrame:
+    """Pages and excerpts that bear at least one mark of scanning."""
+    return p2_restored(spark, sf).filter(F.size("marks") > 0).select("record_table", "record_id")
+
+
 def p3_found(spark: SparkSession, sf: str) -> DataFrame:
     """Requests that are cut into more than one piece."""
     s = _settings(spark, sf)
@@ -124,4 +138,4 @@ def p9_repaired(spark: SparkSession, sf: str) -> DataFrame:
     return garbling.repaired(table(spark, sf, "documents"), "doc_id", "text", "source")
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_classes, p1_ordinary, p3_found, p3_pieces, p4_found, p4_classes, p5_found, p5_neighbours, p6_found, p6_classes, p7_containers, p8_found, p8_leaks, p9_found, p9_repaired)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_classes, p1_ordinary, p2_found, p2_restored, p3_found, p3_pieces, p4_found, p4_classes, p5_found, p5_neighbours, p6_found, p6_classes, p7_containers, p8_found, p8_leaks, p9_found, p9_repaired)}
