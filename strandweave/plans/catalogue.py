@@ -2,9 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from . import registry_queries, retrieval_queries, text_queries
 
-from pyspark.sql import DataFrame, SparkSession
-
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-SQL: dict[str, str] = {}
+QUERIES = retrieval_queries.QUERIES | text_queries.QUERIES | registry_queries.QUERIES
+SQL = retrieval_queries.SQL | text_queries.SQL | registry_queries.SQL
