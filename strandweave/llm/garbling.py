@@ -46,6 +46,8 @@ START_CLEAN = 0.9
 #: Log gains of a run below this are noise; while garbled records are set apart from the model, a smaller gain tells.
 LEAST_GAIN, FIRST_GAIN = 4.0, 1.0
 
+THAI, THAI_LEAD = re.compile("[ก-๛]+"), re.compile("[เ][ธน][ก-ฟ]")
+READ_AS_THAI = tuple(n for n, (_, read, _) in enumerate(CHAINS) if read == "cp874")
 RUN = re.compile(r"[^\x00-\x7f]+")
 LOST = re.compile("[�\x80-\x9f]")
 #: What can hold a garbled run: signs outside plain Latin and Thai text, Thai beside Latin, or the Thai pairs that UTF-8 lead bytes turn to.
@@ -67,7 +69,8 @@ class _ToBytes(dict):
                 self[byte] = chr(byte)
 
     def __missing__(self, code: int) -> str:
-        return chr(code) if code < 128 else "￿"
+        self[code] = known = chr(code) if code < 128 else "￿"
+        return known
 
 
 _bytes = {codec: _ToBytes(codec) for codec in {b for _, b, _ in CHAINS}}
@@ -182,11 +185,17 @@ class TripleModel:
         return float(np.log(p[~plain]).sum())
 
     def _weigh(self, left: str, run: str, right: str) -> tuple[tuple[int, float], ...]:
+        chains = range(len(CHAINS))
+        if THAI.fullmatch(run):
+            # Thai letters are read from bytes by one codec only: as UTF-8, which shows, or within Latin words.
+            if not THAI_LEAD.search(run) and not (len(run) <= 4 and (left[-1:].isalpha() or right[:1].isalpha())):
+                return ()
+            chains = READ_AS_THAI
         own = self.score(left, run, right)
         if own > -self.least:
             return ()  # no chain can gain more than the run costs
         out, shorter = [], {run}
-        for chain in range(len(CHAINS)):
+        for chain in chains:
             undone = undo(run, chain)
             if undone in shorter and (undone == run or CHAINS[chain][2] > 1):
                 continue  # the chain does nothing, or no more than a shorter one
