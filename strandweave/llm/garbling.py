@@ -130,27 +130,35 @@ def _codes(text: str) -> np.ndarray:
     return np.frombuffer(text.encode("utf-32-le", "replace"), np.uint32)
 
 
-def triple_counts(df: DataFrame, text: str) -> DataFrame:
-    """(cell, n): how often each character, hashed pair and hashed triple occurs in all texts. Triples within ASCII are left out: no chain changes them."""
+def _add_counts(total: np.ndarray, texts: list[str]) -> None:
+    """Counts characters, pairs and triples of texts into the cells."""
+    for at in range(0, len(texts), 500):
+        codes = _codes("\n\n" + "\n\n".join(texts[at : at + 500]) + "\n\n")
+        a, b, c = codes[:-2], codes[1:-1], codes[2:]
+        keep = (a | b | c) > 127
+        total[:65536] += np.bincount(_singles(codes), minlength=65536)
+        for cells in (_pairs(a, b), _triples(a[keep], b[keep], c[keep])):
+            if len(cells) > CELLS // 8:
+                total += np.bincount(cells, minlength=CELLS)
+            else:
+                np.add.at(total, cells, 1)
+
+
+def triple_counts(df: DataFrame, text: str, garbled_by: TripleModel | None = None) -> DataFrame:
+    """(cell, n): how often each character, hashed pair and hashed triple occurs in all texts, or in those a model sees garbled. Triples within ASCII are left out: no chain changes them."""
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         total = np.zeros(CELLS, np.int64)
         for batch in batches:
             texts = [t for t in batch["_t"] if t]
-            for at in range(0, len(texts), 500):
-                codes = _codes("\n\n" + "\n\n".join(texts[at : at + 500]) + "\n\n")
-                a, b, c = codes[:-2], codes[1:-1], codes[2:]
-                keep = (a | b | c) > 127
-                total[:65536] += np.bincount(_singles(codes), minlength=65536)
-                for cells in (_pairs(a, b), _triples(a[keep], b[keep], c[keep])):
-                    if len(cells) > CELLS // 8:
-                        total += np.bincount(cells, minlength=CELLS)
-                    else:
-                        np.add.at(total, cells, 1)
+            _add_counts(total, [t for t in texts if LOST.search(t) or garbled_by.gains(t)] if garbled_by else texts)
         at = np.flatnonzero(total)
         yield pd.DataFrame({"cell": at.astype(np.int32), "n": total[at]})
 
-    return df.select(F.col(text).alias("_t")).mapInPandas(count, "cell int, n long").groupBy("cell").agg(F.sum("n").alias("n"))
+    texts = df.select(F.col(text).alias("_t"))
+    if garbled_by:
+        texts = texts.filter(F.col("_t").rlike(SUSPECT))
+    return texts.mapInPandas(count, "cell int, n long").groupBy("cell").agg(F.sum("n").alias("n"))
 
 
 class TripleModel:
@@ -230,16 +238,16 @@ def _model_of(at: np.ndarray, n: np.ndarray, least: float) -> TripleModel:
     return TripleModel(counts, least)
 
 
-def clean_model(df: DataFrame, key: str, text: str, source: str) -> TripleModel:
+def clean_model(df: DataFrame, text: str) -> TripleModel:
     """The model of the texts that are not garbled.
 
-    First all texts are counted; records in which that model already sees garbling are
-    then counted on their own and taken out. At most ``CELLS`` counts reach the driver.
+    First all texts are counted; those in which that model already sees garbling are
+    then counted on their own, where they are read, and taken out. At most ``CELLS``
+    counts reach the driver.
     """
     everything = TripleModel.dense(triple_counts(df, text).toPandas())
-    marked = evidence(df, key, text, source, TripleModel(everything, FIRST_GAIN)).select(key)
-    garbled_text = df.select(key, F.col(text).alias("_t")).join(marked, key, "left_semi")
-    return TripleModel(np.maximum(everything - TripleModel.dense(triple_counts(garbled_text, "_t").toPandas()), 0))
+    garbled = triple_counts(df, text, TripleModel(everything, FIRST_GAIN)).toPandas()
+    return TripleModel(np.maximum(everything - TripleModel.dense(garbled), 0))
 
 
 def evidence(df: DataFrame, key: str, text: str, source: str, model: TripleModel) -> DataFrame:
@@ -261,13 +269,13 @@ def evidence(df: DataFrame, key: str, text: str, source: str, model: TripleModel
 
 def posteriors(df: DataFrame, key: str, text: str, source: str, model: TripleModel | None = None) -> DataFrame:
     """(key, source, lost, chain, p): of every record with evidence the posterior of being garbled, and the likeliest chain if that is at least a half (else -1)."""
-    model = model or clean_model(df, key, text, source)
+    model = model or clean_model(df, text)
     seen = cut(evidence(df, key, text, source, model), "garbling")
     everyone = F.lit("*")
     name = F.coalesce(F.col("source"), F.lit("(none)"))
     sizes = df.select(F.col(source).cast("string").alias("source")).groupBy(name.alias("pool")).agg(F.count("*").alias("n"))
     sizes = cut(sizes, "garbling-sizes")
-    total = sizes.agg(F.sum("n").alias("all_n")).withColumn("one", F.lit(1))
+    all_n = sizes.agg(F.sum("n")).first()[0] or 0
     even = (1 - START_CLEAN) / len(CHAINS)
     none = F.lit(-1).alias("chain")
 
@@ -290,12 +298,14 @@ def posteriors(df: DataFrame, key: str, text: str, source: str, model: TripleMod
         # M step: expected records of each chain, per source and over all; records without evidence belong to "none".
         each = weighed.select(F.explode(F.array("pool", everyone)).alias("pool"), F.explode("post").alias("x")).filter("x.chain >= 0")
         sums = each.groupBy("pool", F.col("x.chain").alias("chain")).agg(F.sum("x.p").alias("r"))
-        by_pool = cut(sums.groupBy("pool").agg(F.map_from_entries(F.collect_list(F.struct("chain", "r"))).alias("own")), "garbling-round")
-        shared = by_pool.filter(F.col("pool") == "*").select(F.col("own").alias("shared"), F.lit(1).alias("one")).join(total, "one")
-        pools = sizes.join(by_pool.filter(F.col("pool") != "*"), "pool", "left").withColumn("one", F.lit(1)).join(shared, "one", "left")
-        r = lambda m, c: F.coalesce(F.try_element_at(m, F.lit(c)), F.lit(0.0))
-        share = [((r("own", c) + SMOOTHING * r("shared", c) / F.col("all_n")) / (F.col("n") + SMOOTHING)).alias(f"c{c}") for c in range(len(CHAINS))]
-        pools = pools.select("pool", *[F.greatest(F.coalesce(x, F.lit(0.0)), F.lit(1e-7)).alias(f"c{c}") for c, x in enumerate(share)])
+        sums = cut(sums, "garbling-round")
+        # Of all records together: one number a chain.
+        shared = {x["chain"]: x["r"] for x in sums.filter(F.col("pool") == "*").collect()}
+        own = sums.filter(F.col("pool") != "*").groupBy("pool").agg(F.map_from_entries(F.collect_list(F.struct("chain", "r"))).alias("own"))
+        pools = sizes.join(own, "pool", "left")
+        r = lambda c: F.coalesce(F.try_element_at("own", F.lit(c)), F.lit(0.0))
+        share = [(r(c) + F.lit(SMOOTHING * shared.get(c, 0.0) / max(1, all_n))) / (F.col("n") + SMOOTHING) for c in range(len(CHAINS))]
+        pools = pools.select("pool", *[F.greatest(x, F.lit(1e-7)).alias(f"c{c}") for c, x in enumerate(share)])
         left = 1 - sum((F.col(f"c{c}") for c in range(len(CHAINS))), F.lit(0.0))
         entry = lambda c, p: F.struct(F.lit(c).alias("chain"), p.alias("p"))
         prior = F.map_from_entries(F.array(entry(-1, F.greatest(left, F.lit(1e-3))), *[entry(c, F.col(f"c{c}")) for c in range(len(CHAINS))]))
@@ -318,7 +328,7 @@ def garbled(df: DataFrame, key: str, text: str, source: str, model: TripleModel
 
 def repaired(df: DataFrame, key: str, text: str, source: str) -> DataFrame:
     """(key, chain, lost, repaired): the affected records with their text restored as far as it can be."""
-    model = clean_model(df, key, text, source)
+    model = clean_model(df, text)
     found = garbled(df, key, text, source, model)
     number = {n: i for i, n in enumerate(NAMES)}
     schema = f"`{key}` {dict(df.dtypes)[key]}, chain string, lost boolean, repaired string"
