@@ -143,9 +143,9 @@ def title_intents(spark: SparkSession, sf: str) -> DataFrame:
 _CHUNKS_SQL = "chunks AS (SELECT chunk_id, min(doc_id) AS doc_id, min(chunk_index) AS chunk_index, min(content) AS content, min(section_kind) AS section_kind, min(embedding) AS embedding FROM document_chunks GROUP BY 1)"
 _PROBE_SQL = "probe AS (SELECT CAST(embedding AS DOUBLE[]) AS q FROM embeddings ORDER BY vec_id LIMIT 1)"
 _COS = "list_cosine_similarity(CAST(embedding AS DOUBLE[]), q)"
-_VECTOR = "SELECT doc_id, chunk_id, cos, row_number() OVER (ORDER BY round(cos, 6) DESC, doc_id, chunk_id) AS rank FROM (SELECT doc_id, chunk_id, {cos} AS cos FROM {src}, probe WHERE embedding IS NOT NULL AND list_sum(list_transform(embedding, x -> x * x)) > 0)"
+_VECTOR = "SELECT doc_id, chunk_id, cos, row_number() OVER (ORDER BY round(cos, 6) DESC, doc_id, chunk_id) AS rank FROM (SELECT doc_id, chunk_id, {cos} AS cos FROM {src}, probe WHERE embedding IS NOT NULL AND list_sum(list_transform(embedding, lambda x: x * x)) > 0)"
 _KEY = """SELECT doc_id, chunk_id, n, tf, row_number() OVER (ORDER BY (CASE WHEN n = {all} THEN 1000000 ELSE 0 END) + n * 1000 + least(tf, 999) DESC, doc_id, chunk_id) AS rank
-  FROM (SELECT doc_id, chunk_id, len(list_distinct(h)) AS n, len(h) AS tf FROM (SELECT doc_id, chunk_id, list_filter(regexp_extract_all(lower(content), '[\\p{{L}}\\p{{N}}_-]+'), t -> t IN ({words})) AS h FROM chunks) WHERE len(h) > 0)"""
+  FROM (SELECT doc_id, chunk_id, len(list_distinct(h)) AS n, len(h) AS tf FROM (SELECT doc_id, chunk_id, list_filter(regexp_extract_all(lower(content), '[\\p{{L}}\\p{{N}}_-]+'), lambda t: t IN ({words})) AS h FROM chunks) WHERE len(h) > 0)"""
 _WORDS = "'tenant', 'applicant', 'register'"
 _KEY3 = _KEY.format(all=3, words=_WORDS)
 _CHANNELS = f"""
@@ -168,8 +168,10 @@ weighted AS (SELECT f.doc_id, f.chunk_id, f.channel, f.first, round(f.score * (1
 def _intent_sql(q: str) -> str:
     low = f"lower(trim({q}))"
     any_ = lambda ws: "(" + " OR ".join(f"contains({low}, '{w}')" for w in ws) + ")"
-    docs = f"regexp_extract_all({q}, '{planner.DOCUMENT_ID}', 1)"
-    ents = f"list_filter(regexp_extract_all({q}, '{planner.ENTITY_ID}', 1), e -> len(list_filter({docs}, d -> contains(d, e))) = 0)"
+    # RE2 takes only ASCII for word characters, so the boundaries are written out.
+    whole = lambda p: r"(?:^|[^\p{L}\p{N}_])" + p.replace(r"\b", "") + r"(?:$|[^\p{L}\p{N}_])"
+    docs = f"regexp_extract_all({q}, '{whole(planner.DOCUMENT_ID)}', 1)"
+    ents = f"list_filter(regexp_extract_all({q}, '{whole(planner.ENTITY_ID)}', 1), lambda e: len(list_filter({docs}, lambda d: contains(d, e))) = 0)"
     month = "(" + " OR ".join(f"contains(lower({q}), '{w}')" for ws in planner.MONTHS.values() for w in ws) + f") AND regexp_matches(lower({q}), '\\b20\\d{{2}}\\b')"
     return f"""CASE WHEN len({docs}) > 0 THEN 'document_exact' WHEN {any_(planner.IMPACT)} THEN 'impact_analysis' WHEN {any_(planner.NEWS)} AND {month} THEN 'news_by_date'
  WHEN {any_(planner.OVERVIEW)} AND {any_(planner.RELATED)} THEN 'graph_global' WHEN {any_(planner.CAUSE)} THEN 'semantic_global' WHEN len({ents}) > 0 AND {any_(planner.CONNECT)} THEN 'relationship_local'

@@ -12,8 +12,12 @@ from ..session import shared_folder
 
 
 def file_stream(spark: SparkSession, path: str, per_trigger: int = 1) -> DataFrame:
-    """A stream of the parquet files under a path, with the schema they have now."""
-    return spark.readStream.schema(spark.read.parquet(path).schema).option("maxFilesPerTrigger", per_trigger).parquet(path)
+    """A stream of the parquet files under a path, with the schema they have now; a path that is one file is a folder of one."""
+    reader = spark.readStream.schema(spark.read.parquet(path).schema).option("maxFilesPerTrigger", per_trigger)
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    if place.getFileSystem(spark._jsc.hadoopConfiguration()).getFileStatus(place).isFile():
+        return reader.option("pathGlobFilter", place.getName()).parquet(place.getParent().toString())
+    return reader.parquet(path)
 
 
 def event_time(df: DataFrame, ts: str, late: str) -> DataFrame:
