@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from . import registry_queries, retrieval_queries, text_queries
+from . import evidence_queries, registry_queries, retrieval_queries, text_queries
 
-QUERIES = retrieval_queries.QUERIES | text_queries.QUERIES | registry_queries.QUERIES
-SQL = retrieval_queries.SQL | text_queries.SQL | registry_queries.SQL
+MODULES = (retrieval_queries, text_queries, registry_queries, evidence_queries)
+QUERIES = {name: query for m in MODULES for name, query in m.QUERIES.items()}
+SQL = {name: sql for m in MODULES for name, sql in m.SQL.items()}
