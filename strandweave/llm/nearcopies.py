@@ -34,9 +34,9 @@ from ..session import cut
 from .components import connected_components
 
 RUN = 4
-SEGMENTS, SYMBOLS = 32, 4
-#: Segments after the agreeing one that a chain looks at, and the differences a segment may have on average.
-CHAIN, BUDGET = 8, 1.8
+SEGMENTS, SYMBOLS = 24, 4
+#: Segments after the agreeing one that a chain looks at; the differences a segment may have on average, and the slack of a whole chain.
+CHAIN, BUDGET, SLACK = 16, 1.5, 1.5
 _rng = np.random.RandomState(20_011)
 _MUL = _rng.randint(1, 2**31, SEGMENTS * SYMBOLS).astype(np.uint32) * np.uint32(2) + np.uint32(1)
 _ADD = _rng.randint(0, 2**31, SEGMENTS * SYMBOLS).astype(np.uint32)
@@ -69,8 +69,8 @@ def sketch(text: str) -> np.ndarray | None:
     return out
 
 
-def _ring(symbols: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Per text and segment: a digest of the segment, and two bits of each symbol of the next ``CHAIN`` segments."""
+def _ring(symbols: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Per text and segment: a digest of the segment, and two bits of each symbol of the next ``CHAIN`` segments in two words."""
     parts = symbols.reshape(len(symbols), SEGMENTS, SYMBOLS).astype(np.uint64)
     digest = np.arange(SEGMENTS, dtype=np.uint64)[None, :] + np.uint64(1)
     for k in range(SYMBOLS):
@@ -78,46 +78,47 @@ def _ring(symbols: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         digest ^= digest >> np.uint64(31)
     two = (parts >> np.uint64(17)) & np.uint64(3)
     byte = two[:, :, 0] | two[:, :, 1] << np.uint64(2) | two[:, :, 2] << np.uint64(4) | two[:, :, 3] << np.uint64(6)
-    chain = np.zeros(byte.shape, np.uint64)
+    words = [np.zeros(byte.shape, np.uint64) for _ in range(CHAIN // 8)]
     for k in range(CHAIN):
-        chain |= np.roll(byte, -(k + 1), axis=1) << np.uint64(8 * k)
-    return digest.view(np.int64), chain.view(np.int64)
+        words[k // 8] |= np.roll(byte, -(k + 1), axis=1) << np.uint64(8 * (k % 8))
+    return digest.view(np.int64), words[0].view(np.int64), words[1].view(np.int64)
 
 
 def segments(texts: DataFrame) -> DataFrame:
-    """(digest, text_key, chain): one row per text and segment of (text_key, bare)."""
+    """(digest, text_key, near, far): one row per text and segment of (text_key, bare)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             first = dict(zip(batch.column("text_key").to_pylist(), batch.column("bare").to_pylist(), strict=True))
             done = [(k, s) for k, t in first.items() if (s := sketch(t)) is not None]
             if done:
-                digest, chain = _ring(np.stack([s for _, s in done]))
+                digest, near, far = _ring(np.stack([s for _, s in done]))
                 keys = np.repeat(np.array([k for k, _ in done], np.int64), SEGMENTS)
-                yield pa.RecordBatch.from_arrays([pa.array(digest.ravel()), pa.array(keys), pa.array(chain.ravel())], ["digest", "text_key", "chain"])
+                yield pa.RecordBatch.from_arrays([pa.array(x) for x in (digest.ravel(), keys, near.ravel(), far.ravel())], ["digest", "text_key", "near", "far"])
 
-    return texts.select("text_key", "bare").mapInArrow(run, "digest long, text_key long, chain long")
+    return texts.select("text_key", "bare").mapInArrow(run, "digest long, text_key long, near long, far long")
 
 
-def _within(a: Column, b: Column) -> Column:
+def _within(*words: tuple[Column, Column]) -> Column:
     """Whether every chain from the agreeing segment stays within its share of the budget."""
-    x = a.bitwiseXOR(b)
-    differ = x.bitwiseOR(F.shiftrightunsigned(x, 1)).bitwiseAND(F.lit(0x5555555555555555))
-    holds = F.lit(True)
-    for k in range(1, CHAIN + 1):
-        mask = (1 << (8 * k)) - 1
-        part = differ if k == 8 else differ.bitwiseAND(F.lit(mask))
-        holds = holds & (F.bit_count(part) <= int(BUDGET * (k + 1)))
+    holds, before = F.lit(True), F.lit(0)
+    for n, (a, b) in enumerate(words):
+        x = a.bitwiseXOR(b)
+        differ = x.bitwiseOR(F.shiftrightunsigned(x, 1)).bitwiseAND(F.lit(0x5555555555555555))
+        for k in range(1, 9):
+            part = differ if k == 8 else differ.bitwiseAND(F.lit((1 << (8 * k)) - 1))
+            holds = holds & (before + F.bit_count(part) <= int(BUDGET * (8 * n + k + 1) + SLACK))
+        before = before + F.bit_count(differ)
     return holds
 
 
 def candidates(texts: DataFrame) -> DataFrame:
     """(a, b): keys of texts that agree in a segment and pass the chain condition from it."""
     rows = segments(texts)
-    left = rows.select("digest", F.col("text_key").alias("a"), F.col("chain").alias("_ca"))
-    right = rows.select("digest", F.col("text_key").alias("b"), F.col("chain").alias("_cb"))
-    pairs = left.join(right, "digest").filter((F.col("a") < F.col("b")) & _within(F.col("_ca"), F.col("_cb")))
-    return pairs.select("a", "b").distinct()
+    left = rows.select("digest", F.col("text_key").alias("a"), F.col("near").alias("_na"), F.col("far").alias("_fa"))
+    right = rows.select("digest", F.col("text_key").alias("b"), F.col("near").alias("_nb"), F.col("far").alias("_fb"))
+    chains = _within((F.col("_na"), F.col("_nb")), (F.col("_fa"), F.col("_fb")))
+    return left.join(right, "digest").filter((F.col("a") < F.col("b")) & chains).select("a", "b").distinct()
 
 
 @lru_cache(maxsize=4096)
