@@ -40,18 +40,21 @@ def p1_ordinary(spark: SparkSession, sf: str) -> DataFrame:
     return lookalikes.look_alike_class(_looks(spark, sf), "text").select("record_table", "record_id", "ordinary", "class_id").distinct()
 
 
-def p2_restored(spark: SparkSession, sf: str) -> DataFrame:
-    """Every page and excerpt with the marks of scanning it bears and its text without them."""
+def _scans(spark: SparkSession, sf: str) -> DataFrame:
     pages = table(spark, sf, "ocr_pages")
-    excerpts = table(spark, sf, "entity_sources").groupBy(F.col("source_id").alias("record_id")).agg(F.min("excerpt").alias("text"))
     records = pages.select(F.lit("ocr_pages").alias("record_table"), F.col("page_id").alias("record_id"), F.col("markdown").alias("text"))
-    records = records.unionByName(excerpts.select(F.lit("entity_sources").alias("record_table"), "record_id", "text"))
-    return scans.restore(records, "record_table", "record_id", "text", scans.file_headers(pages, "page_id", "file_id", "markdown"), "page_id")
+    excerpts = table(spark, sf, "entity_sources").select(F.lit("entity_sources").alias("record_table"), F.col("source_id").alias("record_id"), F.col("excerpt").alias("text"))
+    return scans.restore(records, excerpts, "record_table", "record_id", "text", scans.file_headers(pages, "page_id", "file_id", "markdown"), "page_id")
+
+
+def p2_restored(spark: SparkSession, sf: str) -> DataFrame:
+    """Every page and excerpt with the marks of scanning it bears and its text without them; one delivered twice is taken once."""
+    return _scans(spark, sf).dropDuplicates(["record_table", "record_id"])
 
 
 def p2_found(spark: SparkSession, sf: str) -> DataFrame:
     """Pages and excerpts that bear at least one mark of scanning."""
-    return p2_restored(spark, sf).filter(F.size("marks") > 0).select("record_table", "record_id")
+    return _scans(spark, sf).filter(F.size("marks") > 0).select("record_table", "record_id").distinct()
 
 
 def p3_found(spark: SparkSession, sf: str) -> DataFrame:

@@ -24,7 +24,8 @@ def fixture(seed=5):
 
 
 def exact(rows, least):
-    grams = {k: Counter((s := "".join(t.lower().split()))[i : i + 4] for i in range(len(s) - 3)) for k, t in rows if t}
+    bare = {k: "".join(t.lower().split()) for k, t in rows if t}
+    grams = {k: Counter(s[i : i + 4] for i in range(len(s) - 3)) for k, s in bare.items()}
     keys = sorted(grams)
     return {(a, b) for i, a in enumerate(keys) for b in keys[i + 1 :] if sum((grams[a] & grams[b]).values()) >= least * max(grams[a].total(), grams[b].total())}
 
