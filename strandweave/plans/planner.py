@@ -93,9 +93,9 @@ def document_ids(question: Column) -> Column:
     return F.regexp_extract_all(question, F.lit(DOCUMENT_ID), F.lit(1))
 
 
-def entity_ids(question: Column) -> Column:
+def entity_ids(question: Column, documents: Column | None = None) -> Column:
     """Identifiers that are no part of a document id."""
-    docs = document_ids(question)
+    docs = document_ids(question) if documents is None else documents
     return F.filter(F.regexp_extract_all(question, F.lit(ENTITY_ID), F.lit(1)), lambda e: ~F.exists(docs, lambda d: F.contains(d, e)))
 
 
@@ -111,13 +111,12 @@ def month_start(question: Column) -> Column:
     return F.when(year.isNotNull() & month.isNotNull(), F.make_date(year, month, F.lit(1)))
 
 
-def intent(question: Column) -> Column:
-    """The first rule that holds names the intent."""
-    low, has_entity = F.lower(F.trim(question)), F.size(entity_ids(question)) > 0
+def _rule(low: Column, docs: Column, entities: Column, month: Column) -> Column:
+    has_entity = F.size(entities) > 0
     return (
-        F.when(F.size(document_ids(question)) > 0, "document_exact")
+        F.when(F.size(docs) > 0, "document_exact")
         .when(_any(low, IMPACT), "impact_analysis")
-        .when(_any(low, NEWS) & month_start(question).isNotNull(), "news_by_date")
+        .when(_any(low, NEWS) & month.isNotNull(), "news_by_date")
         .when(_any(low, OVERVIEW) & _any(low, RELATED), "graph_global")
         .when(_any(low, CAUSE), "semantic_global")
         .when(has_entity & _any(low, CONNECT), "relationship_local")
@@ -128,6 +127,14 @@ def intent(question: Column) -> Column:
     )
 
 
+def with_intent(questions: DataFrame, question: str) -> DataFrame:
+    """Adds ``intent`` (the first rule that holds names it), ``document_ids``, ``entity_ids`` and ``published_from``; what rules share is worked out once."""
+    q = F.col(question)
+    out = questions.withColumn("document_ids", document_ids(q)).withColumn("published_from", month_start(q))
+    out = out.withColumn("entity_ids", entity_ids(q, F.col("document_ids")))
+    return out.withColumn("intent", _rule(F.lower(F.trim(q)), F.col("document_ids"), F.col("entity_ids"), F.col("published_from")))
+
+
 def plan(questions: DataFrame, question: str, policy: Policy, wanted: int | None = None) -> DataFrame:
     """Adds intent, channels, graph_scope, graph_depth, max_sources and the window of publication to every question."""
     channels, scope, depth = F.when(F.lit(False), F.array(F.lit(""))), F.when(F.lit(False), F.lit("")), F.when(F.lit(False), F.lit(0))
@@ -140,11 +147,10 @@ def plan(questions: DataFrame, question: str, policy: Policy, wanted: int | None
         is_ = F.col("intent") == name
         channels = channels.when(is_, F.array(*[F.lit(c) for c in kept]) if kept else F.array().cast("array<string>"))
         scope, depth = scope.when(is_, where), depth.when(is_, deep or policy.most_depth)
-    out = questions.withColumn("intent", intent(F.col(question)))
-    start = month_start(F.col(question))
+    out = with_intent(questions, question)
     return out.withColumns({
         "channels": channels, "graph_scope": scope, "graph_depth": depth, "max_sources": F.lit(min(wanted or policy.default_top, policy.most_top)),
-        "published_from": start, "published_to": F.add_months(start, 1),
+        "published_to": F.add_months("published_from", 1),
     })
 
 

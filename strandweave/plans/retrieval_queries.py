@@ -137,7 +137,7 @@ def intents(spark: SparkSession, sf: str) -> DataFrame:
 def title_intents(spark: SparkSession, sf: str) -> DataFrame:
     """Intents by the first rule that holds, counted over the titles and names of all tables."""
     q = table(spark, sf, "documents").select(F.coalesce("title", F.lit("")).alias("q")).unionByName(table(spark, sf, "knowledge_entities").select(F.col("name").alias("q"))).unionByName(table(spark, sf, "document_metadata_values").select(F.coalesce("value_text", F.lit("")).alias("q")))
-    return q.select(planner.intent(F.col("q")).alias("intent"), F.size(planner.entity_ids(F.col("q"))).alias("n_ids")).groupBy("intent").agg(F.count("*").alias("n"), F.sum("n_ids").alias("n_ids"))
+    return planner.with_intent(q, "q").select("intent", F.size("entity_ids").alias("n_ids")).groupBy("intent").agg(F.count("*").alias("n"), F.sum("n_ids").alias("n_ids"))
 
 
 _CHUNKS_SQL = "chunks AS (SELECT chunk_id, min(doc_id) AS doc_id, min(chunk_index) AS chunk_index, min(content) AS content, min(section_kind) AS section_kind, min(embedding) AS embedding FROM document_chunks GROUP BY 1)"
