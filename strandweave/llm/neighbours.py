@@ -42,6 +42,8 @@ LINES, COLLISIONS, WIDTH = 16, 14, 2.2
 REACH = 0.9
 SCALE = 200.0
 TILE = 128
+#: Share of a tile that must collide for the tile to be verified as a whole.
+DENSE = 0.02
 
 
 def projections(dim: int) -> np.ndarray:
@@ -110,6 +112,7 @@ def collide(q: np.ndarray, x: np.ndarray, radii: tuple[float, ...], k: int, leas
     for n, radius in enumerate(radii):
         last, half = n == len(radii) - 1, WIDTH * radius * sigma
         bins, left = int(math.ceil(half * SCALE)), []
+        bound = max(least, -2.0 if last else 1 - radius * radius / 2)
         for at in range(0, len(todo), TILE):
             tile = todo[at : at + TILE]
             a, b = np.searchsorted(px[:, 0], (pq[tile[0], 0] - half, pq[tile[-1], 0] + half))
@@ -120,11 +123,17 @@ def collide(q: np.ndarray, x: np.ndarray, radii: tuple[float, ...], k: int, leas
                 hits = np.zeros((len(tile), b - a), np.uint8)
                 for j in range(LINES):
                     hits += (cells[j, a:b][None, :] - low[:, j, None]) <= span[:, j, None]
-                rows, cols = np.nonzero(hits >= COLLISIONS)
-                cos = np.einsum("ij,ij->i", q[tile[rows]], x[a + cols]) if len(rows) else np.zeros(0, np.float32)
+                met = hits >= COLLISIONS
+                if np.count_nonzero(met) > DENSE * met.size:  # wide windows: verify the tile as one product
+                    product = q[tile] @ x[a:b].T
+                    rows, cols = np.nonzero(met & (product >= bound))
+                    cos = product[rows, cols]
+                else:
+                    rows, cols = np.nonzero(met)
+                    cos = np.einsum("ij,ij->i", q[tile[rows]], x[a + cols]) if len(rows) else np.zeros(0, np.float32)
             else:
                 rows, cols, cos = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.float32)
-            near = cos >= max(least, -2.0 if last else 1 - radius * radius / 2)
+            near = cos >= bound
             enough = np.bincount(rows[near], minlength=len(tile)) >= k
             take = near & (enough[rows] | last)
             out.append((tile[rows[take]], by_first[a + cols[take]], cos[take]))
@@ -265,7 +274,7 @@ def neighbours_of(df: DataFrame, key: str, vector: str, queries: Column, k: int,
         a, b = np.flatnonzero(~is_x), np.flatnonzero(is_x)
         if not len(a) or not len(b):
             return pd.DataFrame({"q": ids[:0], "x": ids[:0], "cosine": np.zeros(0)})
-        rows, cols, cos = collide(v[a], v[b], (0.45, 0.8, 1.0, 1.2, 2.0), k + 1, -2.0)
+        rows, cols, cos = collide(v[a], v[b], (0.45, 1.0, 1.2, 2.0), k + 1, -2.0)
         out = pd.DataFrame({"q": ids[a[rows]], "x": ids[b[cols]], "cosine": cos})
         return out[out["q"] != out["x"]].sort_values(["q", "cosine", "x"], ascending=[True, False, True]).groupby("q").head(k)
 
