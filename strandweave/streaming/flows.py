@@ -56,8 +56,7 @@ def deliver(df: DataFrame, path: str, key: str, order: str) -> StreamingQuery:
         newest = batch.groupBy(key).agg(F.max_by(F.struct(*batch.columns), F.col(order)).alias("r")).select("r.*")
         newest.write.mode("overwrite").parquet(f"{path}/batch={number}")
 
-    spark = df.sparkSession
-    return df.writeStream.foreachBatch(upsert).option("checkpointLocation", f"{path}-checkpoint" if "://" in path else f"{shared_folder(spark)}/outbox").trigger(availableNow=True).start()
+    return df.writeStream.foreachBatch(upsert).option("checkpointLocation", f"{path}-checkpoint").trigger(availableNow=True).start()
 
 
 def delivered(spark: SparkSession, path: str, key: str, order: str) -> DataFrame:
