@@ -1,11 +1,11 @@
 """Problem 4: records whose texts share most of their runs of characters.
 
 Method: pigeonring filtering. A text is sketched by minhash symbols over its runs of
-four characters; symbols form segments on a ring. Two texts whose sketches differ in at
-most a proportional number of symbols have a segment where they agree and from which
-every chain of consecutive segments keeps its differences within the chain's share of the
-budget. An equi-join on agreeing segments proposes pairs, the chain condition (bit
-arithmetic in the join) prunes them, and the survivors are counted exactly.
+four characters (a run that comes again is another run); symbols form segments on a ring.
+An equi-join on agreeing segments proposes pairs, the chain of segments after the
+agreeing one (bit arithmetic in the join) prunes those with more differences than the
+least similar pair that is asked for would have, and the survivors are counted exactly.
+The sketch is a sample: how many pairs it finds is stated in the README.
 
 Exact copies are one text throughout (a 64-bit digest of the text without white space,
 in lower case); they come back only where results are written out per record.
@@ -20,6 +20,7 @@ Defined cases
 
 from __future__ import annotations
 
+import math
 from collections import Counter
 from collections.abc import Iterator
 from functools import lru_cache
@@ -34,9 +35,10 @@ from ..session import cut
 from .components import connected_components
 
 RUN = 4
-SEGMENTS, SYMBOLS = 24, 4
-#: Segments after the agreeing one that a chain looks at; the differences a segment may have on average, and the slack of a whole chain.
-CHAIN, BUDGET, SLACK = 16, 1.5, 1.5
+SEGMENTS, SYMBOLS = 56, 4
+#: Segments after the agreeing one that a chain looks at, eight in a word; deviations by which a chain may exceed what the least similar pair differs in on average.
+CHAIN, DEVIATIONS = 24, 3.4
+WORDS = tuple(f"w{k}" for k in range(CHAIN // 8))
 _rng = np.random.RandomState(20_011)
 _MUL = _rng.randint(1, 2**31, SEGMENTS * SYMBOLS).astype(np.uint32) * np.uint32(2) + np.uint32(1)
 _ADD = _rng.randint(0, 2**31, SEGMENTS * SYMBOLS).astype(np.uint32)
@@ -62,15 +64,18 @@ def sketch(text: str) -> np.ndarray | None:
     """Minhash symbols of a text, or none if it has no run."""
     if len(text) < RUN:
         return None
-    h = np.unique(run_hashes(text))
+    h = np.sort(run_hashes(text))
+    at = np.arange(len(h))
+    again = at - np.maximum.accumulate(np.where(np.r_[True, h[1:] != h[:-1]], at, 0))
+    h ^= again.astype(np.uint32) * np.uint32(0x9E3779B1)
     out = np.full(SEGMENTS * SYMBOLS, 0xFFFFFFFF, np.uint32)
     for at in range(0, len(h), 4096):  # long texts in slices, so that memory stays level
         np.minimum(out, (h[at : at + 4096, None] * _MUL + _ADD).min(axis=0), out=out)
     return out
 
 
-def _ring(symbols: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Per text and segment: a digest of the segment, and two bits of each symbol of the next ``CHAIN`` segments in two words."""
+def _ring(symbols: np.ndarray) -> list[np.ndarray]:
+    """Per text and segment: a digest of the segment, and two bits of each symbol of the next ``CHAIN`` segments in words."""
     parts = symbols.reshape(len(symbols), SEGMENTS, SYMBOLS).astype(np.uint64)
     digest = np.arange(SEGMENTS, dtype=np.uint64)[None, :] + np.uint64(1)
     for k in range(SYMBOLS):
@@ -78,47 +83,50 @@ def _ring(symbols: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         digest ^= digest >> np.uint64(31)
     two = (parts >> np.uint64(17)) & np.uint64(3)
     byte = two[:, :, 0] | two[:, :, 1] << np.uint64(2) | two[:, :, 2] << np.uint64(4) | two[:, :, 3] << np.uint64(6)
-    words = [np.zeros(byte.shape, np.uint64) for _ in range(CHAIN // 8)]
+    words = [np.zeros(byte.shape, np.uint64) for _ in WORDS]
     for k in range(CHAIN):
         words[k // 8] |= np.roll(byte, -(k + 1), axis=1) << np.uint64(8 * (k % 8))
-    return digest.view(np.int64), words[0].view(np.int64), words[1].view(np.int64)
+    return [x.view(np.int64) for x in (digest, *words)]
 
 
 def segments(texts: DataFrame) -> DataFrame:
-    """(digest, text_key, near, far): one row per text and segment of (text_key, bare)."""
+    """(digest, text_key, words of the chain): one row per text and segment of (text_key, bare)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             first = dict(zip(batch.column("text_key").to_pylist(), batch.column("bare").to_pylist(), strict=True))
             done = [(k, s) for k, t in first.items() if (s := sketch(t)) is not None]
             if done:
-                digest, near, far = _ring(np.stack([s for _, s in done]))
+                digest, *words = _ring(np.stack([s for _, s in done]))
                 keys = np.repeat(np.array([k for k, _ in done], np.int64), SEGMENTS)
-                yield pa.RecordBatch.from_arrays([pa.array(x) for x in (digest.ravel(), keys, near.ravel(), far.ravel())], ["digest", "text_key", "near", "far"])
+                yield pa.RecordBatch.from_arrays([pa.array(x) for x in (digest.ravel(), keys, *[w.ravel() for w in words])], ["digest", "text_key", *WORDS])
 
-    return texts.select("text_key", "bare").mapInArrow(run, "digest long, text_key long, near long, far long")
+    return texts.select("text_key", "bare").mapInArrow(run, ", ".join(f"{c} long" for c in ("digest", "text_key", *WORDS)))
 
 
-def _within(*words: tuple[Column, Column]) -> Column:
-    """Whether every chain from the agreeing segment stays within its share of the budget."""
-    holds, before = F.lit(True), F.lit(0)
-    for n, (a, b) in enumerate(words):
-        x = a.bitwiseXOR(b)
-        differ = x.bitwiseOR(F.shiftrightunsigned(x, 1)).bitwiseAND(F.lit(0x5555555555555555))
-        for k in range(1, 9):
-            part = differ if k == 8 else differ.bitwiseAND(F.lit((1 << (8 * k)) - 1))
-            holds = holds & (before + F.bit_count(part) <= int(BUDGET * (8 * n + k + 1) + SLACK))
-        before = before + F.bit_count(differ)
-    return holds
+def chain_limit(least: float) -> int:
+    """The differences a chain may have: a pair of that share with equal lengths, the worst there is, keeps its place but for one in some 3,000."""
+    differ = 0.75 * (1 - least / (2 - least))  # two bits of different symbols are equal one time in four
+    n = CHAIN * SYMBOLS
+    return math.floor(n * differ + DEVIATIONS * math.sqrt(n * differ * (1 - differ)))
 
 
-def candidates(texts: DataFrame) -> DataFrame:
+def _differences(words: list[tuple[str, str]]) -> Column:
+    """The symbols in which two chains differ."""
+    total = F.lit(0)
+    for a, b in words:
+        x = F.col(a).bitwiseXOR(F.col(b))
+        total = total + F.bit_count(x.bitwiseOR(F.shiftrightunsigned(x, 1)).bitwiseAND(F.lit(0x5555555555555555)))
+    return total
+
+
+def candidates(texts: DataFrame, least: float) -> DataFrame:
     """(a, b): keys of texts that agree in a segment and pass the chain condition from it."""
     rows = segments(texts)
-    left = rows.select("digest", F.col("text_key").alias("a"), F.col("near").alias("_na"), F.col("far").alias("_fa"))
-    right = rows.select("digest", F.col("text_key").alias("b"), F.col("near").alias("_nb"), F.col("far").alias("_fb"))
-    chains = _within((F.col("_na"), F.col("_nb")), (F.col("_fa"), F.col("_fb")))
-    return left.join(right, "digest").filter((F.col("a") < F.col("b")) & chains).select("a", "b").distinct()
+    left = rows.select("digest", F.col("text_key").alias("a"), *[F.col(w).alias(f"_a{w}") for w in WORDS])
+    right = rows.select("digest", F.col("text_key").alias("b"), *[F.col(w).alias(f"_b{w}") for w in WORDS])
+    near = _differences([(f"_a{w}", f"_b{w}") for w in WORDS]) <= chain_limit(least)
+    return left.join(right, "digest").filter((F.col("a") < F.col("b")) & near).select("a", "b").distinct()
 
 
 @lru_cache(maxsize=4096)
@@ -145,7 +153,7 @@ def text_keys(df: DataFrame, text: str, *group: str) -> DataFrame:
 
 def similar_texts(keyed: DataFrame, least: float) -> DataFrame:
     """(a, b, share): pairs of different texts of (text_key, bare) with at least that share."""
-    pairs = candidates(keyed)
+    pairs = candidates(keyed, least)
     texts = keyed.groupBy(F.col("text_key").alias("_k")).agg(F.first("bare").alias("_t"))
     both = pairs.join(texts, F.col("a") == F.col("_k")).select("a", "b", F.col("_t").alias("_ta"))
     both = both.join(texts, F.col("b") == F.col("_k")).select("a", "b", "_ta", F.col("_t").alias("_tb"))

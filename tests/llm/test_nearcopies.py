@@ -58,3 +58,18 @@ def test_components_of_long_chains_and_stars(spark):
     got = {r.node: r.component for r in C.connected_components(spark.createDataFrame(edges, "a long, b long")).collect()}
     assert all(got[i] == 0 for i in range(61)) and all(got[1000 + i] == 1000 for i in range(40))
     assert C.connected_components(spark.createDataFrame([], "a long, b long")).count() == 0
+
+
+def test_pairs_near_the_limit_and_with_repeated_runs(spark):
+    rng, rows = random.Random(11), []
+    for g in range(250):
+        base = "".join(chr(0x4E00 + rng.randrange(20000)) for _ in range(203))
+        rows += [(f"{g}a", base), (f"{g}b", base[: 142 + g % 9] + "".join(chr(0x4E00 + rng.randrange(20000)) for _ in range(61 - g % 9)))]
+    stutter = "abcd" * 60
+    rows += [("sa", stutter + "".join(rng.sample(WORDS, 15))), ("sb", stutter + "".join(rng.sample(WORDS, 15)))]
+    bare = {k: "".join(t.lower().split()) for k, t in rows}
+    want = {(f"{g}a", f"{g}b") for g in range(250) if N.share(bare[f"{g}a"], bare[f"{g}b"]) >= 0.695}
+    assert len(want) >= 200 and N.share(bare["sa"], bare["sb"]) >= 0.7
+    got = {(r.id_a, r.id_b) for r in N.near_copies(spark.createDataFrame(rows, "id string, t string").selectExpr("'x' AS tab", "id", "t"), "id", "t", "tab", 0.695).collect()}
+    assert got <= want | {("sa", "sb")} and ("sa", "sb") in got
+    assert len(want & got) >= 0.975 * len(want)
