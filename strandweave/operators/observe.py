@@ -32,11 +32,14 @@ def admitted(df: DataFrame, key: str, ts: str, seconds: int, limit: int) -> Data
     """(key, offered, admitted): a sliding limit in which only admitted events count.
 
     An ordered fold over the times of a key that remembers at most ``limit`` admitted
-    times. Days are folded on their own (the log is cut at midnight), so that a key with
-    any share of the events is many bounded groups.
+    times. A key is cut only at pauses of at least the window, after which nothing is
+    held; what lies between two such pauses is one group, however long it is.
     """
     at = F.unix_micros(F.col(ts).cast("timestamp"))
-    times = df.select(key, F.col(ts).cast("date").alias("_day"), at.alias("_at")).groupBy(key, "_day").agg(F.array_sort(F.collect_list("_at")).alias("_ts"))
+    ordered = Window.partitionBy(key).orderBy("_at")
+    pause = F.coalesce(F.col("_at") - F.lag("_at").over(ordered) >= seconds * 1_000_000, F.lit(True))
+    runs = df.select(key, at.alias("_at")).withColumn("_new", pause.cast("long")).withColumn("_run", F.sum("_new").over(ordered))
+    times = runs.groupBy(key, "_run").agg(F.array_sort(F.collect_list("_at")).alias("_ts"))
     start = F.struct(F.array().cast("array<bigint>").alias("held"), F.lit(0).cast("long").alias("n"))
 
     def step(acc: Column, t: Column) -> Column:

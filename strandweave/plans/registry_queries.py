@@ -108,7 +108,7 @@ def offered_load(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def admitted_load(spark: SparkSession, sf: str) -> DataFrame:
-    """Events admitted under a sliding limit of two within six hours, by user and day."""
+    """Events admitted under a sliding limit of two within six hours, by user."""
     return observe.admitted(table(spark, sf, "events"), "user_id", "ts", 21_600, 2)
 
 

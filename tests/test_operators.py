@@ -118,6 +118,12 @@ def test_admission_remembers_only_what_it_let_in(spark):
     assert {r.u: (r.offered, r.admitted) for r in observe.admitted(e, "u", "ts", 60, 2).collect()} == {"u": (7, 4), "v": (1, 1)}
 
 
+def test_admission_holds_over_midnight(spark):
+    late = datetime.datetime(2024, 1, 1, 23, 58)
+    e = spark.createDataFrame([("u", late + datetime.timedelta(seconds=s)) for s in (0, 60, 130, 200, 301, 302, 601, 602, 603)] + [("w", None)], "u string, ts timestamp")
+    assert {r.u: (r.offered, r.admitted) for r in observe.admitted(e, "u", "ts", 300, 2).collect()} == {"u": (9, 5), "w": (0, 0)}
+
+
 def test_span_offsets(spark):
     s = spark.createDataFrame([("r", 1, 0, 10), ("r", 2, None, 5), ("r", 3, 30, None), ("r", 4, None, 1), ("q", 1, None, None)], "run string, n int, off int, dur int")
     assert [(r.run, r.n, r.start_at) for r in observe.span_offsets(s, "run", "n", "off", "dur").orderBy("run", "n").collect()] == [("q", 1, 0), ("r", 1, 0), ("r", 2, 10), ("r", 3, 30), ("r", 4, 30)]
