@@ -39,6 +39,14 @@ def test_code_pages(spark):
     assert got == [thai, None, None, None, None, None]
 
 
+def test_titles_within_titles_at_any_place(spark):
+    refs = spark.createDataFrame([("k", t, None, None) for t in ("Copy: Notification on Ferries and Piers", "Rules for the Lighthouse", "Old Kiln Act", "สำเนา ประกาศเรื่องท่าเรือและประภาคาร", " ", None)], "kb string, t string, n string, d date")
+    main = ["notification on ferries and piers", "Annex to the Rules for the Lighthouse (full)", "kiln", "ประกาศเรื่องท่าเรือและประภาคาร", "", None]
+    inst = spark.createDataFrame([("k", t, None, None, str(k)) for k, t in enumerate(main)] + [("z", "Rules for the Lighthouse", None, None, "elsewhere")], "kb string, t string, n string, d date, id string")
+    got = evidence.title_match(refs, inst, "kb", "t", "n", "t", "n", "d", "id").collect()
+    assert [(r.match, r.score) for r in sorted(got, key=lambda r: r.t or "")] == [(None, None), (None, None), ("0", 50), ("2", 50), ("1", 50), ("3", 50)]
+
+
 def test_joins_around_evidence(spark):
     p = spark.createDataFrame([(1, "มาตรา ๙ ทวิ".replace("๙", "9")), (1, "7"), (2, None)], "d int, n string")
     c = spark.createDataFrame([(1, "9/1", 10), (1, "9/1", 11), (2, "7", 12), (1, None, 13)], "d int, n2 string, c int")
