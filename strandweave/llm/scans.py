@@ -55,9 +55,8 @@ _ALL = (1 << 64) - 1
 CELLS = FOUR + FIVE
 #: Signs around a place are rare up to this share of the corpus, and at least this count.
 RARE, RARE_LEAST = 1.5e-6, 3
-#: A stretch with more rare places than this is a name.
-NAME = 7
-_digit = re.compile("[0-9']")
+#: A stretch of more rare signs than this may be another language: what is put right there must become common.
+LONG = 40
 HYPHENS = "-‐‑¬­"
 DIGIT = "0-9๐-๙OolI"
 
@@ -187,8 +186,8 @@ class Source:
         end, floor, log = len(part), plain + MARGIN, self.log
         for i in range(end):
             best = states[i].items()
-            if len(best) > 4:
-                best = sorted(best, key=lambda x: -x[1][0])[:4]
+            if len(best) > 6:
+                best = sorted(best, key=lambda x: -x[1][0])[:6]
             ways = [(part[i], part[i]), *[w for w in READ.get(part[i], ()) if len(w[0]) == 1 or part.startswith(w[0], i)]]
             for ctx, (score, out) in best:
                 if score <= floor:
@@ -213,22 +212,28 @@ class Source:
                 top, text = score, out
         return text, top - plain
 
+    def _still_rare(self, left: str, part: str, text: str, right: str) -> bool:
+        """Whether the first or the last sign that was put right still has only rare runs around it."""
+        short = min(len(part), len(text))
+        head = next((i for i in range(short) if part[i] != text[i]), short)
+        tail = next((i for i in range(short - head) if part[-1 - i] != text[-1 - i]), short - head)
+        rare = set(self.rare_places([left + text + right])[0])
+        return len(left) + head in rare or len(left) + len(text) - 1 - tail in rare
+
     def misread(self, s: str, places: list[int]) -> list[tuple[int, int, str]]:
         """(start, end, original) of what was read wrongly around the rare places of a flat line."""
         out, k = [], 0
         while k < len(places):
             a = b = places[k]
-            first = k
             while k + 1 < len(places) and places[k + 1] - b <= 3:
                 k += 1
                 b = places[k]
             k += 1
-            if k - first > NAME and not _digit.search(s, a, b + 1):
-                continue  # nothing of it is known and no sign is out of place: a name or another language, not a slip
+            long = b - a > LONG
             a, b = max(4, a - 2), min(len(s) - 4, b + 3)
             part = s[a:b]
             text, gain = self.decode(s[a - 4 : a], part, s[b : b + 4])
-            if text != part and gain > MARGIN:
+            if text != part and gain > MARGIN and not (long and self._still_rare(s[a - 4 : a], part, text, s[b : b + 4])):
                 out.append((a, b, text))
         return out
 

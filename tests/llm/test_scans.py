@@ -1,5 +1,6 @@
 import random
 
+import numpy as np
 from pyspark.sql import functions as F
 
 from strandweave.llm import scans as S
@@ -42,3 +43,16 @@ def test_headers_come_back_within_a_file(spark):
     got = {r.page_id: r.headers for r in S.file_headers(df, "page_id", "file_id", "markdown").collect()}
     assert set(got) == {"p0", "p1", "p2", "p3"}
     assert S.file_headers(df.limit(0), "page_id", "file_id", "markdown").count() == 0
+
+
+def test_long_rare_stretches_are_decoded():
+    rng = random.Random(4)
+    four, five = S._cells(S._codes(S.flat(" ".join(clean(rng) for _ in range(300)))))
+    source = S.Source(np.bincount(np.concatenate([four, five]), minlength=S.CELLS).astype(np.float32))
+    for read, true in (("thc rcgistcr of", "the register of"), ("thc rcgistcr of thc rcscrvoir shall not amcnd thc district", "the register of the reservoir shall not amend the district")):
+        line = f"    {read}    "
+        places = source.rare_places([line])[0]
+        assert len(places) > 7
+        for a, b, original in reversed(source.misread(line, places)):
+            line = line[:a] + original + line[b:]
+        assert line.strip() == true
