@@ -2,9 +2,10 @@
 
 Method: pigeonring filtering. A text is sketched by minhash symbols over its runs of
 four characters (a run that comes again is another run); symbols form segments on a ring.
-An equi-join on agreeing segments proposes pairs, the chain of segments after the
-agreeing one (bit arithmetic in the join) prunes those with more differences than the
-least similar pair that is asked for would have, and the survivors are counted exactly.
+An equi-join on agreeing segments proposes pairs. From the agreeing segment the ring is
+followed: after each stretch of the chain the differences so far must stay within the
+budget in proportion to its length (bit arithmetic in the join); the budget is what the
+least similar pair of those two lengths would have. The survivors are counted exactly.
 The sketch is a sample: how many pairs it finds is stated in the README.
 
 Exact copies are one text throughout (a 64-bit digest of the text without white space,
@@ -35,13 +36,23 @@ from ..session import cut
 from .components import connected_components
 
 RUN = 4
-SEGMENTS, SYMBOLS = 56, 4
-#: Segments after the agreeing one that a chain looks at, eight in a word; deviations by which a chain may exceed what the least similar pair differs in on average.
-CHAIN, DEVIATIONS = 24, 3.4
-WORDS = tuple(f"w{k}" for k in range(CHAIN // 8))
+#: Segments on the ring, symbols of a segment, bits kept of a symbol in a chain.
+RING, SYMBOLS, BITS = 24, 3, 3
+BOX = SYMBOLS * BITS
+#: Segments after the agreeing one, by the column of 64 bits that holds them. The first column holds the digest of the agreeing segment and the length too.
+STRETCHES = (3, 7, 7)
+COLUMNS = ("ring", "w1", "w2")
+DIGEST, LENGTH_AT, FIRST_AT = 0xFFFFFFFF, 32, 37
+#: Deviations by which the differences at the end of each stretch may exceed what the least similar pair has on average.
+DEVIATIONS = (3.3, 3.0, 2.5)
+#: A length is a number of steps of this factor, counted round a circle: lengths that far apart share too little anyway.
+LENGTH_STEP, LENGTHS = 1.04, 32
+#: Bits of the table that tells which texts are in a pair: 4 MB, whatever the corpus holds.
+MENTIONED = 1 << 25
+SLICE = 65_536
 _rng = np.random.RandomState(20_011)
-_MUL = _rng.randint(1, 2**31, SEGMENTS * SYMBOLS).astype(np.uint32) * np.uint32(2) + np.uint32(1)
-_ADD = _rng.randint(0, 2**31, SEGMENTS * SYMBOLS).astype(np.uint32)
+_MUL = _rng.randint(1, 2**31, RING * SYMBOLS).astype(np.uint32) * np.uint32(2) + np.uint32(1)
+_ADD = _rng.randint(0, 2**31, RING * SYMBOLS).astype(np.uint32)
 
 
 def bare(text: Column) -> Column:
@@ -49,9 +60,9 @@ def bare(text: Column) -> Column:
     return F.regexp_replace(F.lower(text), r"(?U)\s+", "")
 
 
-def run_hashes(text: str) -> np.ndarray:
-    """Mixed 32-bit hashes of the runs of a text."""
-    codes = np.frombuffer(text.encode("utf-32-le", "replace"), np.uint32).astype(np.uint64)
+def run_hashes(codes: np.ndarray) -> np.ndarray:
+    """Mixed 32-bit hashes of the runs of a string of code points."""
+    codes = codes.astype(np.uint64)
     h = codes[:-3] * np.uint64(0x9E3779B97F4A7C15) + codes[1:-2]
     h = h * np.uint64(0xC2B2AE3D27D4EB4F) + codes[2:-1]
     h = h * np.uint64(0x165667B19E3779F9) + codes[3:]
@@ -60,73 +71,119 @@ def run_hashes(text: str) -> np.ndarray:
     return (h >> np.uint64(32)).astype(np.uint32)
 
 
-def sketch(text: str) -> np.ndarray | None:
-    """Minhash symbols of a text, or none if it has no run."""
-    if len(text) < RUN:
-        return None
-    h = np.sort(run_hashes(text))
-    at = np.arange(len(h))
-    again = at - np.maximum.accumulate(np.where(np.r_[True, h[1:] != h[:-1]], at, 0))
-    h ^= again.astype(np.uint32) * np.uint32(0x9E3779B1)
-    out = np.full(SEGMENTS * SYMBOLS, 0xFFFFFFFF, np.uint32)
-    for at in range(0, len(h), 4096):  # long texts in slices, so that memory stays level
-        np.minimum(out, (h[at : at + 4096, None] * _MUL + _ADD).min(axis=0), out=out)
-    return out
-
-
-def _ring(symbols: np.ndarray) -> list[np.ndarray]:
-    """Per text and segment: a digest of the segment, and two bits of each symbol of the next ``CHAIN`` segments in words."""
-    parts = symbols.reshape(len(symbols), SEGMENTS, SYMBOLS).astype(np.uint64)
-    digest = np.arange(SEGMENTS, dtype=np.uint64)[None, :] + np.uint64(1)
+def sketches(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """(symbols, runs) of texts of at least four signs: one row of minhash symbols each, and how many runs it has."""
+    sizes = np.array([len(t) for t in texts])
+    codes = np.frombuffer("".join(texts).encode("utf-32-le", "replace"), np.uint32)
+    of = np.repeat(np.arange(len(texts), dtype=np.uint64), sizes)
+    whole = of[:-3] == of[3:]
+    key = np.sort(of[:-3][whole] << np.uint64(32) | run_hashes(codes)[whole])
+    at = np.arange(len(key))
+    again = at - np.maximum.accumulate(np.where(np.r_[True, key[1:] != key[:-1]], at, 0))
+    h = key.astype(np.uint32) ^ again.astype(np.uint32) * np.uint32(0x9E3779B1)
+    runs = sizes - RUN + 1
+    ends = np.cumsum(runs)
+    out = np.full((RING * SYMBOLS, len(texts)), 0xFFFFFFFF, np.uint32)
+    mixed = np.empty(SLICE, np.uint32)
+    for a in range(0, len(h), SLICE):  # in slices, so that memory stays level
+        part = h[a : a + SLICE]
+        first, last = np.searchsorted(ends, a, side="right"), np.searchsorted(ends, a + len(part) - 1, side="right") + 1
+        cuts, buffer = np.maximum(ends[first:last] - runs[first:last], a) - a, mixed[: len(part)]
+        for k in range(RING * SYMBOLS):
+            np.multiply(part, _MUL[k], out=buffer)
+            np.add(buffer, _ADD[k], out=buffer)
+            np.minimum(out[k, first:last], np.minimum.reduceat(buffer, cuts), out=out[k, first:last])
+    return np.ascontiguousarray(out.T), runs
+
+
+def _ring(symbols: np.ndarray, runs: np.ndarray) -> list[np.ndarray]:
+    """Per text and segment, as 64-bit columns: a digest of the segment, the length, and the low bits of the symbols of the segments after it."""
+    parts = symbols.reshape(len(symbols), RING, SYMBOLS).astype(np.uint64)
+    digest = np.arange(RING, dtype=np.uint64)[None, :] + np.uint64(1)
     for k in range(SYMBOLS):
         digest = (digest * np.uint64(0x9E3779B97F4A7C15)) ^ (parts[:, :, k] * np.uint64(0xC2B2AE3D27D4EB4F))
         digest ^= digest >> np.uint64(31)
-    two = (parts >> np.uint64(17)) & np.uint64(3)
-    byte = two[:, :, 0] | two[:, :, 1] << np.uint64(2) | two[:, :, 2] << np.uint64(4) | two[:, :, 3] << np.uint64(6)
-    words = [np.zeros(byte.shape, np.uint64) for _ in WORDS]
-    for k in range(CHAIN):
-        words[k // 8] |= np.roll(byte, -(k + 1), axis=1) << np.uint64(8 * (k % 8))
-    return [x.view(np.int64) for x in (digest, *words)]
+    low = (parts >> np.uint64(17)) & np.uint64((1 << BITS) - 1)
+    box = low[:, :, 0]
+    for k in range(1, SYMBOLS):
+        box = box | low[:, :, k] << np.uint64(BITS * k)
+    steps = (np.log(np.maximum(runs, 1)) / math.log(LENGTH_STEP)).astype(np.uint64) % np.uint64(LENGTHS)
+    columns, after = [], 1
+    for c, n in enumerate(STRETCHES):
+        word = digest & np.uint64(DIGEST) | steps[:, None] << np.uint64(LENGTH_AT) if c == 0 else np.zeros(box.shape, np.uint64)
+        for k in range(n):
+            word |= np.roll(box, -(after + k), axis=1) << np.uint64(BOX * k + (FIRST_AT if c == 0 else 0))
+        columns.append(word.ravel().view(np.int64))
+        after += n
+    return columns
 
 
 def segments(texts: DataFrame) -> DataFrame:
-    """(digest, text_key, words of the chain): one row per text and segment of (text_key, bare)."""
+    """(text_key, ring, w1, w2): one row per text and segment of (text_key, bare)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             first = dict(zip(batch.column("text_key").to_pylist(), batch.column("bare").to_pylist(), strict=True))
-            done = [(k, s) for k, t in first.items() if (s := sketch(t)) is not None]
+            done = [(k, t) for k, t in first.items() if len(t) >= RUN]
             if done:
-                digest, *words = _ring(np.stack([s for _, s in done]))
-                keys = np.repeat(np.array([k for k, _ in done], np.int64), SEGMENTS)
-                yield pa.RecordBatch.from_arrays([pa.array(x) for x in (digest.ravel(), keys, *[w.ravel() for w in words])], ["digest", "text_key", *WORDS])
-
-    return texts.select("text_key", "bare").mapInArrow(run, ", ".join(f"{c} long" for c in ("digest", "text_key", *WORDS)))
-
-
-def chain_limit(least: float) -> int:
-    """The differences a chain may have: a pair of that share with equal lengths, the worst there is, keeps its place but for one in some 3,000."""
-    differ = 0.75 * (1 - least / (2 - least))  # two bits of different symbols are equal one time in four
-    n = CHAIN * SYMBOLS
-    return math.floor(n * differ + DEVIATIONS * math.sqrt(n * differ * (1 - differ)))
-
-
-def _differences(words: list[tuple[str, str]]) -> Column:
-    """The symbols in which two chains differ."""
-    total = F.lit(0)
-    for a, b in words:
-        x = F.col(a).bitwiseXOR(F.col(b))
-        total = total + F.bit_count(x.bitwiseOR(F.shiftrightunsigned(x, 1)).bitwiseAND(F.lit(0x5555555555555555)))
-    return total
+                columns = _ring(*sketches([t for _, t in done]))
+                yield pa.RecordBatch.from_arrays([pa.array(x) for x in (np.repeat(np.array([k for k, _ in done], np.int64), RING), *columns)], ["text_key", *COLUMNS])
+
+    return texts.select("text_key", "bare").mapInArrow(run, ", ".join(f"{c} long" for c in ("text_key", *COLUMNS)))
+
+
+def chain_limit(least: float, ratio: float, stretch: int) -> int:
+    """The differences a chain may have at the end of a stretch, for two texts whose numbers of runs have that ratio."""
+    alike = least / (1 + ratio - least)
+    differ = (1 - 0.5**BITS) * (1 - alike)  # the bits kept of different symbols may be equal
+    n = SYMBOLS * sum(STRETCHES[: stretch + 1])
+    return math.floor(n * differ + DEVIATIONS[stretch] * math.sqrt(n * differ * (1 - differ)))
+
+
+def _mask(stretch: int) -> int:
+    """The lowest bit of every symbol of a stretch."""
+    return sum(1 << (BITS * k + (FIRST_AT if stretch == 0 else 0)) for k in range(SYMBOLS * STRETCHES[stretch]))
+
+
+def within_budget(a: list[str], b: list[str], least: float) -> Column:
+    """The chain condition on two rows: lengths that allow the share, and after every stretch no more differences than the budget."""
+    length = lambda c: F.shiftrightunsigned(F.col(c), LENGTH_AT).bitwiseAND(F.lit(LENGTHS - 1)).cast("int")
+    apart = F.abs(length(a[0]) - length(b[0]))
+    apart = F.least(apart, LENGTHS - apart)
+    most = math.ceil(math.log(1 / least) / math.log(LENGTH_STEP))
+    out, total = apart <= most, F.lit(0)
+    for n, (x, y) in enumerate(zip(a, b, strict=True)):
+        differing = bits = F.col(x).bitwiseXOR(F.col(y))
+        for k in range(1, BITS):
+            differing = differing.bitwiseOR(F.shiftrightunsigned(bits, k))
+        total = total + F.bit_count(differing.bitwiseAND(F.lit(_mask(n))))
+        # Lengths are known to a step, so the ratio is the largest the steps allow.
+        limits = [chain_limit(least, min(1.0, LENGTH_STEP ** (1 - d)), n) for d in range(most + 1)]
+        out = out & (total <= (F.get(F.array(*[F.lit(v) for v in limits]), apart) if n == len(STRETCHES) - 1 else limits[0]))
+    return out
 
 
 def candidates(texts: DataFrame, least: float) -> DataFrame:
     """(a, b): keys of texts that agree in a segment and pass the chain condition from it."""
     rows = segments(texts)
-    left = rows.select("digest", F.col("text_key").alias("a"), *[F.col(w).alias(f"_a{w}") for w in WORDS])
-    right = rows.select("digest", F.col("text_key").alias("b"), *[F.col(w).alias(f"_b{w}") for w in WORDS])
-    near = _differences([(f"_a{w}", f"_b{w}") for w in WORDS]) <= chain_limit(least)
-    return left.join(right, "digest").filter((F.col("a") < F.col("b")) & near).select("a", "b").distinct()
+    side = lambda name: rows.select(F.col("text_key").alias(name), *[F.col(c).alias(f"_{name}{n}") for n, c in enumerate(COLUMNS)])
+    agree = F.col("_a0").bitwiseAND(F.lit(DIGEST)) == F.col("_b0").bitwiseAND(F.lit(DIGEST))
+    near = within_budget([f"_a{n}" for n in range(len(COLUMNS))], [f"_b{n}" for n in range(len(COLUMNS))], least)
+    return side("a").join(side("b"), agree & (F.col("a") < F.col("b")) & near).select("a", "b").distinct()
+
+
+def mentioned(texts: DataFrame, key: str, keys: DataFrame) -> DataFrame:
+    """Rows of ``texts`` whose key may be among ``keys``, found where they are read.
+
+    The keys are bits of a table of ``MENTIONED`` bits in rows of 4 KB, which is broadcast:
+    its size is fixed. A text that is kept in vain does no harm.
+    """
+    bit = lambda c: F.pmod(F.col(c), F.lit(MENTIONED))
+    page, place = lambda c: F.shiftright(bit(c), 15).cast("int"), lambda c: bit(c).bitwiseAND(F.lit(32767))
+    table = keys.groupBy(page(keys.columns[0]).alias("_page")).agg(F.bitmap_construct_agg(place(keys.columns[0])).alias("_bits"))
+    met = texts.withColumn("_at", page(key)).join(F.broadcast(table), F.col("_at") == F.col("_page"))
+    byte = F.conv(F.hex(F.substr(F.col("_bits"), F.shiftright(place(key), 3).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
+    return met.filter(F.call_function("shiftright", byte, place(key).bitwiseAND(F.lit(7)).cast("int")).bitwiseAND(F.lit(1)) == 1).select(*texts.columns)
 
 
 @lru_cache(maxsize=4096)
@@ -153,8 +210,9 @@ def text_keys(df: DataFrame, text: str, *group: str) -> DataFrame:
 
 def similar_texts(keyed: DataFrame, least: float) -> DataFrame:
     """(a, b, share): pairs of different texts of (text_key, bare) with at least that share."""
-    pairs = candidates(keyed, least)
-    texts = keyed.groupBy(F.col("text_key").alias("_k")).agg(F.first("bare").alias("_t"))
+    pairs = cut(candidates(keyed, least), "near-copy-pairs")
+    keys = pairs.select(F.explode(F.array("a", "b")).alias("_key"))
+    texts = mentioned(keyed.select(F.col("text_key").alias("_k"), "bare"), "_k", keys).groupBy("_k").agg(F.first("bare").alias("_t"))
     both = pairs.join(texts, F.col("a") == F.col("_k")).select("a", "b", F.col("_t").alias("_ta"))
     both = both.join(texts, F.col("b") == F.col("_k")).select("a", "b", "_ta", F.col("_t").alias("_tb"))
 
