@@ -20,7 +20,7 @@ Defined cases
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import lru_cache
 
 import numpy as np
@@ -39,12 +39,15 @@ SINGLE = (
 )
 CHAINS = tuple([("utf-8", b, 1) for b in READ_AS] + [(a, b, 1) for a, b in SINGLE] + [("utf-8", b, 2) for b in READ_AS] + [("utf-8", "cp1252", 3)])
 NAMES = tuple(f"{a} read as {b}" + (f" {n} times" if n > 1 else "") for a, b, n in CHAINS)
-ROUNDS = 3
+#: The rounds end when no chain's expected share of all records moves by more than this, at the latest after so many.
+SETTLED, ROUNDS = 1e-5, 12
 #: Records that the corpus-wide prior counts for beside a source's own.
 SMOOTHING = 20.0
 START_CLEAN = 0.9
 #: Log gains of a run below this are noise; while garbled records are set apart from the model, a smaller gain tells.
 LEAST_GAIN, FIRST_GAIN = 4.0, 1.0
+#: Runs of fewer signs are too short to be judged by other records alone: a quotation mark before a new word would look odd.
+OWN_LEAST = 3
 
 THAI, THAI_LEAD = re.compile("[ก-๛]+"), re.compile("[เ][ธน][ก-ฟ]")
 READ_AS_THAI = tuple(n for n, (_, read, _) in enumerate(CHAINS) if read == "cp874")
@@ -161,6 +164,20 @@ def triple_counts(df: DataFrame, text: str, garbled_by: TripleModel | None = Non
     return texts.mapInPandas(count, "cell int, n long").groupBy("cell").agg(F.sum("n").alias("n"))
 
 
+def _own_counts(text: str) -> tuple[np.ndarray, np.ndarray]:
+    """(cells, counts) of what one text adds to pairs and triples."""
+    codes = _codes("\n\n" + text + "\n\n")
+    a, b, c = codes[:-2], codes[1:-1], codes[2:]
+    keep = (a | b | c) > 127
+    return np.unique(np.concatenate([_pairs(a, b), _triples(a[keep], b[keep], c[keep])]), return_counts=True)
+
+
+def _held(own: tuple[np.ndarray, np.ndarray], cells: np.ndarray) -> np.ndarray:
+    """How often each of some cells is among a text's own."""
+    at = np.minimum(np.searchsorted(own[0], cells), len(own[0]) - 1)
+    return np.where(own[0][at] == cells, own[1][at], 0)
+
+
 class TripleModel:
     """Log probability of characters given the two before them, backing off to single characters."""
 
@@ -182,24 +199,32 @@ class TripleModel:
         at = np.flatnonzero(self.counts)
         return _model_of, (at.astype(np.int32), self.counts[at], self.least)
 
-    def score(self, left: str, run: str, right: str) -> float:
-        """Of ``run`` and ``right``, both after ``left`` (two characters)."""
+    def score(self, left: str, run: str, right: str, own: tuple[np.ndarray, np.ndarray] | int = 0) -> float:
+        """Of ``run`` and ``right``, both after ``left`` (two characters).
+
+        ``own`` is what the record itself has added to the counts: the (cells, counts) of its
+        text, or one of each. A run as it stands is judged by the other records only, else
+        a garbled text would vouch for itself.
+        """
         codes = _codes(left + run + right)
         a, b, c = codes[:-2], codes[1:-1], codes[2:]
-        seen = self.counts[_triples(a, b, c)]
-        before = self.counts[_pairs(a, b)]
+        triples, pairs = _triples(a, b, c), _pairs(a, b)
+        seen, before = self.counts[triples], self.counts[pairs]
+        if not isinstance(own, int) or own:
+            less = (1, 1) if isinstance(own, int) else (_held(own, triples), _held(own, pairs))
+            seen, before = np.maximum(seen - less[0], 0), np.maximum(before - less[1], 0)
         plain = (a | b | c) <= 127
         p = (seen + self.BACK * self.single[_singles(c)]) / (before + self.BACK)
         return float(np.log(p[~plain]).sum())
 
-    def _weigh(self, left: str, run: str, right: str) -> tuple[tuple[int, float], ...]:
+    def _weigh(self, left: str, run: str, right: str, own_counts: Callable[[], tuple[np.ndarray, np.ndarray]] | None = None) -> tuple[tuple[int, float], ...]:
         chains = range(len(CHAINS))
         if THAI.fullmatch(run):
             # Thai letters are read from bytes by one codec only: as UTF-8, which shows, or within Latin words.
             if not THAI_LEAD.search(run) and not (len(run) <= 4 and (left[-1:].isalpha() or right[:1].isalpha())):
                 return ()
             chains = READ_AS_THAI
-        own = self.score(left, run, right)
+        own = self.score(left, run, right, own_counts() if own_counts else int(len(run) >= OWN_LEAST))
         if own > -self.least:
             return ()  # no chain can gain more than the run costs
         out, shorter = [], {run}
@@ -215,9 +240,11 @@ class TripleModel:
     def gains(self, text: str) -> dict[int, float]:
         """By chain: how much likelier the runs of a text are with the chain undone."""
         total: dict[int, float] = {}
+        held = lru_cache(maxsize=1)(lambda: _own_counts(text))
         for m in RUN.finditer(text):
             run, a, b = m.group(), m.start(), m.end()
-            weighed = (self._gains if len(run) <= 8 else self._weigh)(("\n\n" + text[max(0, a - 2) : a])[-2:], run, (text[b : b + 2] + "\n\n")[:2])
+            around = ("\n\n" + text[max(0, a - 2) : a])[-2:], run, (text[b : b + 2] + "\n\n")[:2]
+            weighed = self._gains(*around) if len(run) <= 8 else self._weigh(*around, held)
             for chain, gain in weighed:
                 total[chain] = total.get(chain, 0.0) + gain
         return total
@@ -250,10 +277,10 @@ def clean_model(df: DataFrame, text: str) -> TripleModel:
     return TripleModel(np.maximum(everything - TripleModel.dense(garbled), 0))
 
 
-def evidence(df: DataFrame, key: str, text: str, source: str, model: TripleModel) -> DataFrame:
-    """(key, source, lost, gains): records that hold a sign of garbling, with the log gain of each chain."""
+def evidence(df: DataFrame, key: str, text: str, source: str, model: TripleModel, with_text: bool = False) -> DataFrame:
+    """(key, source, lost, gains[, body]): records that hold a sign of garbling, with the log gain of each chain and, where it is asked for, their text."""
     kept = df.select(F.col(key), F.col(source).cast("string").alias("source"), F.col(text).alias("_t")).filter(F.col("_t").rlike(SUSPECT))
-    schema = f"`{key}` {dict(df.dtypes)[key]}, source string, lost boolean, gains array<struct<chain:int,gain:double>>"
+    schema = f"`{key}` {dict(df.dtypes)[key]}, source string, lost boolean, gains array<struct<chain:int,gain:double>>" + (", body string" if with_text else "")
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
@@ -261,16 +288,16 @@ def evidence(df: DataFrame, key: str, text: str, source: str, model: TripleModel
             for k, s, t in zip(batch[key], batch["source"], batch["_t"], strict=True):
                 gains, lost = model.gains(t), bool(LOST.search(t))
                 if gains or lost:
-                    rows.append((k, s, lost, [{"chain": c, "gain": g} for c, g in sorted(gains.items())]))
-            yield pd.DataFrame(rows, columns=[key, "source", "lost", "gains"])
+                    rows.append((k, s, lost, [{"chain": c, "gain": g} for c, g in sorted(gains.items())], t)[: 5 if with_text else 4])
+            yield pd.DataFrame(rows, columns=[key, "source", "lost", "gains", "body"][: 5 if with_text else 4])
 
     return kept.mapInPandas(run, schema)
 
 
-def posteriors(df: DataFrame, key: str, text: str, source: str, model: TripleModel | None = None) -> DataFrame:
-    """(key, source, lost, chain, p): of every record with evidence the posterior of being garbled, and the likeliest chain if that is at least a half (else -1)."""
+def posteriors(df: DataFrame, key: str, text: str, source: str, model: TripleModel | None = None, with_text: bool = False) -> DataFrame:
+    """(key, source, lost, chain, p[, body]): of every record with evidence the posterior of being garbled, and the likeliest chain if that is at least a half (else -1)."""
     model = model or clean_model(df, text)
-    seen = cut(evidence(df, key, text, source, model), "garbling")
+    seen = cut(evidence(df, key, text, source, model, with_text), "garbling")
     everyone = F.lit("*")
     name = F.coalesce(F.col("source"), F.lit("(none)"))
     sizes = df.select(F.col(source).cast("string").alias("source")).groupBy(name.alias("pool")).agg(F.count("*").alias("n"))
@@ -294,6 +321,7 @@ def posteriors(df: DataFrame, key: str, text: str, source: str, model: TripleMod
     start = F.map_from_entries(F.array(*[F.struct(F.lit(c), F.lit(START_CLEAN if c < 0 else even)) for c in range(-1, len(CHAINS))]))
     records = seen.withColumn("pool", name)
     weighed = weigh(records.withColumn("prior", start))
+    last: dict[int, float] = {}
     for _ in range(ROUNDS):
         # M step: expected records of each chain, per source and over all; records without evidence belong to "none".
         each = weighed.select(F.explode(F.array("pool", everyone)).alias("pool"), F.explode("post").alias("x")).filter("x.chain >= 0")
@@ -301,6 +329,10 @@ def posteriors(df: DataFrame, key: str, text: str, source: str, model: TripleMod
         sums = cut(sums, "garbling-round")
         # Of all records together: one number a chain.
         shared = {x["chain"]: x["r"] for x in sums.filter(F.col("pool") == "*").collect()}
+        settled = all(abs(shared.get(c, 0.0) - last.get(c, 0.0)) <= SETTLED * max(1, all_n) for c in range(len(CHAINS)))
+        last = shared
+        if settled:
+            break
         own = sums.filter(F.col("pool") != "*").groupBy("pool").agg(F.map_from_entries(F.collect_list(F.struct("chain", "r"))).alias("own"))
         pools = sizes.join(own, "pool", "left")
         r = lambda c: F.coalesce(F.try_element_at("own", F.lit(c)), F.lit(0.0))
@@ -313,29 +345,31 @@ def posteriors(df: DataFrame, key: str, text: str, source: str, model: TripleMod
     best = F.array_max(F.transform(F.filter("post", lambda x: x["chain"] >= 0), lambda x: F.struct(x["p"].alias("p"), x["chain"].alias("chain"))))
     affected = 1 - F.get("post", F.lit(0))["p"]
     out = weighed.withColumn("_best", best).withColumn("p", affected)
-    return out.select(key, "source", "lost", F.when(F.col("p") >= 0.5, F.col("_best.chain")).otherwise(-1).alias("chain"), "p")
+    return out.select(key, "source", "lost", F.when(F.col("p") >= 0.5, F.col("_best.chain")).otherwise(-1).alias("chain"), "p", *(["body"] if with_text else []))
 
 
-def garbled(df: DataFrame, key: str, text: str, source: str, model: TripleModel | None = None) -> DataFrame:
+def garbled(df: DataFrame, key: str, text: str, source: str, model: TripleModel | None = None, with_text: bool = False) -> DataFrame:
     """(key, chain, p, lost): the affected records; ``p`` is the posterior of any chain at all.
 
     ``chain`` is the name of the likeliest chain, null where characters are only lost.
     """
-    found = posteriors(df, key, text, source, model).filter((F.col("chain") >= 0) | F.col("lost"))
+    found = posteriors(df, key, text, source, model, with_text).filter((F.col("chain") >= 0) | F.col("lost"))
     names = F.array(*[F.lit(n) for n in NAMES])
-    return found.select(key, F.when(F.col("chain") >= 0, F.get(names, F.col("chain"))).alias("chain"), F.round("p", 6).alias("p"), "lost")
+    return found.select(key, F.when(F.col("chain") >= 0, F.get(names, F.col("chain"))).alias("chain"), F.round("p", 6).alias("p"), "lost", *(["body"] if with_text else []))
 
 
 def repaired(df: DataFrame, key: str, text: str, source: str) -> DataFrame:
-    """(key, chain, lost, repaired): the affected records with their text restored as far as it can be."""
+    """(key, chain, lost, repaired): the affected records with their text restored as far as it can be.
+
+    Only records with evidence carry their text beyond the scan, so no text is joined back.
+    """
     model = clean_model(df, text)
-    found = garbled(df, key, text, source, model)
     number = {n: i for i, n in enumerate(NAMES)}
     schema = f"`{key}` {dict(df.dtypes)[key]}, chain string, lost boolean, repaired string"
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            fixed = [model.repair(t, number[c]) if isinstance(c, str) else t for t, c in zip(batch["_t"], batch["chain"], strict=True)]
+            fixed = [model.repair(t, number[c]) if isinstance(c, str) else t for t, c in zip(batch["body"], batch["chain"], strict=True)]
             yield pd.DataFrame({key: batch[key], "chain": batch["chain"], "lost": batch["lost"], "repaired": fixed})
 
-    return df.select(key, F.col(text).alias("_t")).join(found, key).select(key, "chain", "lost", "_t").mapInPandas(run, schema)
+    return garbled(df, key, text, source, model, with_text=True).select(key, "chain", "lost", "body").mapInPandas(run, schema)
