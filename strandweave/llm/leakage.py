@@ -26,6 +26,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..session import cut
+
 #: Everything that is no letter, digit or Thai sign.
 SKIPPED = r"[^\p{L}\p{N}ก-ฺเ-๛]+"
 #: Signs of passages searched at once. A larger set of items is searched in shards of
@@ -85,35 +87,41 @@ class Searcher:
         return found
 
 
+def shares(passage: str, length: int) -> list[str]:
+    """A passage, or if it is longer than a shard parts of it that overlap by all but one sign of the length, so that every window stands in one."""
+    step = SHARD_SIGNS - length + 1
+    return [passage[at : at + SHARD_SIGNS] for at in range(0, max(1, len(passage) - length + 1), step)]
+
+
 def leaks(documents: DataFrame, doc_key: str, text: str, items: DataFrame, item_key: str, passage: str, length: int = 60) -> DataFrame:
     """(doc_key, item_key, longest_run): one row for each document and item of which it holds ``length`` signs.
 
     The documents are read once per shard of items and never shuffled; the result is the
-    only thing that is.
+    only thing that is. The driver holds the passages of one shard, whatever their number.
     """
     wanted = items.select(F.col(item_key).alias("k"), kept(F.col(passage)).alias("p")).filter(F.length("p") >= length)
     kinds = dict(documents.dtypes)[doc_key], dict(items.dtypes)[item_key]
     schema = f"`{doc_key}` {kinds[0]}, `{item_key}` {kinds[1]}, longest_run int"
     signs = documents.select(F.col(doc_key), kept(F.col(text)).alias("_t")).filter(F.length("_t") >= length)
 
-    def scan(searcher: Searcher):
+    def search(passages: list[tuple[str, str]]) -> DataFrame:
         def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            searcher = Searcher(passages, length)  # built where it is used: only the passages travel
             for batch in batches:
                 rows = [(d, item, n) for d, t in zip(batch[doc_key], batch["_t"], strict=True) for item, n in searcher.find(t).items()]
                 yield pd.DataFrame(rows, columns=[doc_key, item_key, "longest_run"])
 
-        return run
-
-    out, shard, held = None, [], 0
-
-    def search(passages: list[tuple[str, str]]) -> DataFrame:
-        found = signs.mapInPandas(scan(Searcher(passages, length)), schema)
-        return found if out is None else out.unionByName(found)
+        return signs.mapInPandas(run, schema)
 
+    # One shard at a time is at the driver: where a second follows, the first is searched and written before.
+    done, shard, held = None, [], 0
     for k, p in wanted.toLocalIterator(prefetchPartitions=False):
-        if shard and held + len(p) > SHARD_SIGNS:
-            out, shard, held = search(shard), [], 0
-        shard.append((k, p))
-        held += len(p)
-    out = search(shard)
+        for part in shares(p, length):
+            if shard and held + len(part) > SHARD_SIGNS:
+                found = cut(search(shard), "leaks")
+                done, shard, held = found if done is None else done.unionByName(found), [], 0
+            shard.append((k, part))
+            held += len(part)
+    last = search(shard)
+    out = last if done is None else done.unionByName(last)
     return out.groupBy(doc_key, item_key).agg(F.max("longest_run").alias("longest_run"))

@@ -1,11 +1,12 @@
 """Problem 6: spellings of names that stand for the same person or body.
 
 Method: names are parsed into tokens; blocks are phonetic codes of the sorted tokens
-(with one sign left out, so that one slip of the pen still meets); pairs within a block
-are compared by Jaro-Winkler, a nickname table and the abbreviations of ranks and legal
-forms; accepted pairs are clustered by connected components. Forms that only abbreviate
-(initials, acronyms) name no one by themselves: they join the one cluster they fit, and
-no cluster if they fit several.
+(with one sign left out, so that one slip of the pen still meets) beside the heads of the
+other tokens, which keeps blocks of common names small; pairs within a block are decided
+by Jaro-Winkler, a nickname table and the abbreviations of ranks and legal forms; accepted
+pairs are clustered by connected components. Forms that only abbreviate (initials,
+acronyms, short given names) name no one by themselves: they join the one cluster they
+fit, and no cluster if they fit several.
 
 Names are compared in the ordinary form of problem 1, in lower case. Equal parsed forms
 are one node, so a name borne by a third of all rows is one row in every comparison.
@@ -20,7 +21,7 @@ Defined cases
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import lru_cache
 
 import pandas as pd
@@ -49,6 +50,15 @@ NICKNAMES = {
     "tim": "timothy", "timmy": "timothy", "val": "valerie", "vicky": "victoria", "vic": "victoria", "tori": "victoria", "vince": "vincent", "vinny": "vincent", "walt": "walter", "wally": "walter",
     "bill": "william", "will": "william", "billy": "william", "willy": "william", "liam": "william", "win": "winifred", "winnie": "winifred", "freda": "winifred",
 }
+# Short forms that stand for several given names, and given names close to those above that are names of their own.
+SHARED_NICKNAMES = {
+    "pat": ("patricia", "patrick"), "sam": ("samuel", "samantha"), "sammy": ("samuel", "samantha"), "alex": ("alexander", "alexandra"), "al": ("alexander", "albert", "alfred", "alan"), "sandy": ("alexander", "alexandra"),
+    "chris": ("christopher", "christina", "christine"), "kit": ("christopher", "katherine"), "charlie": ("charlotte", "charles"), "dan": ("daniel", "danielle"), "danny": ("daniel", "danielle"),
+    "ed": ("edward", "edmund", "edwin"), "ted": ("edward", "theodore"), "teddy": ("edward", "theodore"), "jo": ("josephine", "joanna"), "gerry": ("gerald", "gerard"), "jerry": ("gerald", "jeremy"),
+    "fran": ("frances", "francis"), "harry": ("harold", "henry"), "hal": ("harold", "henry"), "leo": ("leonard", "leopold"), "lou": ("louise", "louis"), "nat": ("natalie", "nathaniel", "nathan"), "nick": ("nicholas", "nicola"),
+    "phil": ("philip", "philippa"), "pip": ("philip", "philippa"), "bert": ("robert", "albert", "herbert"), "steph": ("stephen", "stephanie"), "terry": ("theresa", "terence"), "val": ("valerie", "valentine"),
+    "vic": ("victoria", "victor"), "vicky": ("victoria",), "will": ("william", "wilfred"), "win": ("winifred", "winston"), "inge": ("ingrid", "ingeborg"), "bea": ("beatrice", "beata"), "gabby": ("gabrielle", "gabriel"), "gaby": ("gabrielle", "gabriel"),
+}
 TITLES = {"mr", "mrs", "ms", "miss", "dr", "prof", "sir", "dame", "rev", "herr", "frau", "mme", "mlle"}
 # Legal forms and ranks, and how they are shortened. Longer forms stand first.
 FORMS = {
@@ -69,8 +79,15 @@ THAI_SHORT = {"บมจ.": "บริษัท ", "บจก.": "บริษ
 BRANCH = re.compile(r"\((?:head office|hq|main office)\)", re.I)
 # Thai letters of one sound, and signs that are heard little or not at all.
 THAI_SOUND = str.maketrans("ฆฅขฃฌฎฏฑฒฐถธภผศษซณญฬล", "คคคคชดตทททททพพสสสนยรร")
-THAI_SILENT = re.compile(".์|[็-๎]")
-LEAST_SIMILAR = 0.86
+THAI_SILENT, THAI_MARKS = re.compile(".์|[็-๎]"), re.compile("[็-๎]")
+GIVEN_NAMES = set(NICKNAMES.values()) | {full for names in SHARED_NICKNAMES.values() for full in names}
+#: Tokens this similar (Jaro-Winkler) are one word; short ones must be more so. Down to the third number they are one word if they are one slip of the pen apart.
+LEAST_SIMILAR, LEAST_SHORT, LEAST_SLIP = 0.86, 0.9, 0.78
+LEAST_THAI = 0.94
+#: Stands at the end of a given name that may be short for several.
+SHORT = "~"
+#: Between the words of a Thai name in one code and in the other.
+PARTING = "|"
 
 
 def one_slip(a: str, b: str) -> bool:
@@ -115,17 +132,28 @@ def jaro_winkler(a: str, b: str) -> float:
 
 
 def alike(a: str, b: str) -> bool:
-    """Tokens that may be one word typed twice."""
+    """Tokens that may be one word typed twice: by Jaro-Winkler, and where that wavers by the slip between them."""
     if a == b:
         return True
-    return min(len(a), len(b)) >= 4 and one_slip(a, b) and jaro_winkler(a, b) >= LEAST_SIMILAR
+    short = min(len(a), len(b))
+    if short < 4:
+        return False
+    near = jaro_winkler(a, b)
+    return near >= (LEAST_SHORT if short < 6 else LEAST_SIMILAR) or (short >= 6 and near >= LEAST_SLIP and one_slip(a, b))
+
+
+def alike_given(a: str, b: str) -> bool:
+    """The same for given names: two that are names of their own are two, however similar."""
+    return a == b or (alike(a, b) and not (a in GIVEN_NAMES and b in GIVEN_NAMES))
 
 
 def shortened(a: str, b: str) -> bool:
-    """Whether one token (written with a full stop) is the beginning of the other."""
+    """Whether one token (written with a full stop) is the beginning of the other, or letters of it from the first on."""
     for x, y in ((a, b), (b, a)):
-        if x.endswith(".") and len(x) >= 4 and y.startswith(x[:-1]):
-            return True
+        if x.endswith(".") and len(x) >= 4 and x[0] == y[0] and len(x) <= len(y):
+            rest = iter(y)
+            if y.startswith(x[:-1]) or all(c in rest for c in x[:-1]):
+                return True
     return False
 
 
@@ -145,9 +173,15 @@ def thai_sound(text: str) -> str:
     return re.sub(r"([^\W\d])\1+", r"\1", THAI_SILENT.sub("", text).translate(THAI_SOUND))
 
 
+def thai_letters(text: str) -> str:
+    """Only marks are left out: the letter under a mark of silence stays, so that a mark left out by the writer does no harm."""
+    return THAI_MARKS.sub("", text).translate(THAI_SOUND)
+
+
 def left_out(code: str) -> list[str]:
-    """The code and its variants without one sign: two codes one slip apart share a variant."""
-    return [code, *{code[:i] + code[i + 1 :] for i in range(len(code))}] if len(code) > 2 else [code]
+    """The code and its variants without one sign, doubled letters counted once again: two codes one slip apart share a variant."""
+    once = lambda t: re.sub(r"(.)\1+", r"\1", t)
+    return sorted({once(code), *(once(code[:i] + code[i + 1 :]) for i in range(len(code)))}) if len(code) > 2 else [code]
 
 
 def _form_of(word: str, table: dict[str, tuple[str, ...]]) -> str | None:
@@ -168,7 +202,8 @@ def parse_person(name: str) -> dict | None:
                 if name.startswith(t) and len(name) > len(t) + 3:
                     name, changed = name[len(t) :].strip(), True
         parts = [p.strip() for p in name.split(",")]
-        return {"k": "thai", "w": [thai_sound("".join(reversed(parts)).replace(" ", ""))], "f": ""}
+        whole = "".join(reversed(parts)).replace(" ", "")
+        return {"k": "thai", "w": [thai_sound(whole), PARTING, thai_letters(whole)], "f": ""}
     words = [w for w in re.findall(r"[^\W\d_](?:[^\s,]*[^\W\d_.])?\.?|,", name) if w.lower().rstrip(".") not in TITLES]
     if "," in words:
         at = words.index(",")
@@ -181,37 +216,44 @@ def parse_person(name: str) -> dict | None:
         return None
     full = [w.lower() for w in given if len(w.rstrip(".")) > 1]
     first = full[0].rstrip(".") if full else (given[0][0].lower() + "." if given else "")
+    if full and first not in GIVEN_NAMES and (first in SHARED_NICKNAMES or (first not in NICKNAMES and len(first) <= 4)):
+        first += SHORT
     return {"k": "person", "f": " ".join(family).lower(), "w": [NICKNAMES.get(first, first)]}
 
 
+def _thai_body(name: str, code: Callable[[str], str]) -> tuple[str, list[str]]:
+    """(legal form or rank, the other words) of a Thai name, in a phonetic code."""
+    form, rest = "", name
+    for short, full in THAI_SHORT.items():
+        rest = rest.replace(short, full)
+    rest = code(rest)
+    for added in THAI_ADDED:
+        rest = rest.replace(code(added), " ")
+    for kind, ways in THAI_FORMS:
+        for way in map(code, ways):
+            at, end = rest.find(f"({way})"), 0
+            if at >= 0:
+                end = at + len(way) + 2
+            elif m := re.search(r"(?:^|\s)" + re.escape(way), rest):
+                at, end = m.start(), m.end()
+            elif len(way) >= 5 and (n := next((n for n in (len(way), len(way) - 1, len(way) + 1) if one_slip(rest.lstrip()[:n], way)), 0)):
+                rest = rest.lstrip()
+                at, end = 0, n
+            if end:
+                form, rest = kind, rest[:at] + " " + rest[end:]
+                break
+        if form:
+            break
+    if not form and "จำกัด" in name:
+        form = "บริษัท"
+    return form, [w for w in re.split(r"[\s,()]+", rest) if w]
+
+
 def parse_body(name: str) -> dict | None:
     """Legal form or rank, and the words that tell the body apart."""
     if re.search("[ก-๛]", name):
-        form, rest = "", name
-        for short, full in THAI_SHORT.items():
-            rest = rest.replace(short, full)
-        rest = thai_sound(rest)
-        for added in THAI_ADDED:
-            rest = rest.replace(thai_sound(added), " ")
-        for kind, ways in THAI_FORMS:
-            for way in map(thai_sound, ways):
-                at, end = rest.find(f"({way})"), 0
-                if at >= 0:
-                    end = at + len(way) + 2
-                elif m := re.search(r"(?:^|\s)" + re.escape(way), rest):
-                    at, end = m.start(), m.end()
-                elif len(way) >= 5 and (n := next((n for n in (len(way), len(way) - 1, len(way) + 1) if one_slip(rest.lstrip()[:n], way)), 0)):
-                    rest = rest.lstrip()
-                    at, end = 0, n
-                if end:
-                    form, rest = kind, rest[:at] + " " + rest[end:]
-                    break
-            if form:
-                break
-        if not form and "จำกัด" in name:
-            form = thai_sound("บริษัท")
-        words = [w for w in re.split(r"[\s,()]+", rest) if w]
-        return {"k": "thai", "f": form, "w": words} if words else None
+        form, words = _thai_body(name, thai_sound)
+        return {"k": "thai", "f": form, "w": [*words, PARTING, *_thai_body(name, thai_letters)[1]]} if words else None
     name = BRANCH.sub(" ", name)
     if m := re.fullmatch(r"\s*((?:[A-Z]\.){2,}|[A-Z]{2,6})\s*(?:\(([^)]+)\))?\s*", name):
         return {"k": "acronym", "f": "", "w": [m[1].replace(".", "").lower(), (m[2] or "").lower()]}
@@ -243,21 +285,58 @@ def rotations(words: tuple[str, ...]) -> list[str]:
     return ["".join(words)] if len(words) < 2 else ["".join(words[i:] + words[:i]) for i in range(len(words))]
 
 
+def thai_forms(words: tuple[str, ...]) -> list[set[str]]:
+    """What a Thai name may look like joined, in either code."""
+    at = words.index(PARTING)
+    return [set(rotations(words[:at])), set(rotations(words[at + 1 :]))]
+
+
+def heads(words: list[str]) -> list[str]:
+    """First letters of words, and second ones: a slip at the head of a word leaves one of the two."""
+    return ["".join(w[:1] for w in words), "".join(w[1:2] for w in words)] if words else [""]
+
+
+def given_names(given: str) -> list[str]:
+    """The given names a name as written may stand for."""
+    base = given.rstrip(SHORT)
+    return [base, *SHARED_NICKNAMES.get(base, ())] if given.endswith(SHORT) else [given]
+
+
 def blocks(kind: str, form: str, words: tuple[str, ...], person: bool) -> list[str]:
-    """Keys under which a name meets its possible spellings."""
+    """Keys under which a name meets its possible spellings.
+
+    A person: codes of the family name, with one sign left out, beside the first or second
+    letter of the given name. Without a given name (``<`` meets ``>`` only) the family name
+    meets all. A body: codes of each of its words beside the heads of the others.
+    """
     if kind == "person":
-        return [f"p|{v}" for v in left_out(sound(form))]
+        codes = left_out(sound(form))
+        letters = {h for g in given_names(words[0]) for h in heads([g.rstrip(".")]) if h} if words[0] else set()
+        return sorted({f"p|{v}|{h}" for v in codes for h in letters} | {f"{'>' if words[0] else '<'}|{sound(form)}"})
     if kind == "thai":
-        return sorted({f"t|{person}|{form}|{v}" for r in rotations(words) for v in left_out(r)})
+        return sorted({f"t{n}|{person}|{form}|{v}" for n, ways in enumerate(thai_forms(words)) for r in ways for v in left_out(r)})
     if kind == "acronym":
         return [f"a|{words[0]}"]
     if kind == "body":
-        codes = sorted({w.rstrip(".") for w in words})
-        keys = {f"b|{v}|{' '.join(o[:3] for o in codes if o != w)}" for w in codes for v in left_out(sound(w))}
+        bare = sorted({w.rstrip(".") for w in words})
+        keys = {f"b|{v}|{n}{h}" for w in bare for n, h in enumerate(heads([o for o in bare if o != w])) for v in left_out(sound(w))}
         return sorted(keys | {f"a|{(form[:1] + ''.join(w[0] for w in words))}"})
     return [f"o|{words[0]}"]
 
 
+def _given_verdict(x: str, y: str) -> int:
+    if x == y:
+        return 2
+    if not x or not y:
+        return 1
+    if x.endswith(".") or y.endswith("."):
+        return int(bool({g[0] for g in given_names(x)} & {g[0] for g in given_names(y)}))
+    a, b = x.rstrip(SHORT), y.rstrip(SHORT)
+    if SHORT in x + y:
+        return int(bool(set(given_names(x)) & set(given_names(y))) or (x.endswith(SHORT) and len(a) >= 3 and b.startswith(a)) or (y.endswith(SHORT) and len(b) >= 3 and a.startswith(b)) or alike_given(a, b))
+    return 2 if alike_given(a, b) else 0
+
+
 def verdict(a: tuple, b: tuple) -> int:
     """2: the same. 1: one abbreviates what may be the other. 0: different."""
     (ka, fa, wa), (kb, fb, wb) = a, b
@@ -269,16 +348,11 @@ def verdict(a: tuple, b: tuple) -> int:
     if ka != kb:
         return 0
     if ka == "person":
-        if not alike(fa, fb):
-            return 0
-        x, y = wa[0], wb[0]
-        if x == y:
-            return 2
-        if x.endswith(".") or y.endswith(".") or not x or not y:
-            return 1 if not x or not y or x[0] == y[0] else 0
-        return 2 if alike(x, y) else 0
+        return _given_verdict(wa[0], wb[0]) if alike(fa, fb) else 0
     if ka == "thai":
-        return 2 if fa == fb and any(x == y or (min(len(x), len(y)) >= 6 and one_slip(x, y)) for x in rotations(wa) for y in rotations(wb)) else 0
+        if fa != fb:
+            return 0
+        return 2 if any(x == y or (min(len(x), len(y)) >= 6 and abs(len(x) - len(y)) <= 2 and jaro_winkler(x, y) >= LEAST_THAI and one_slip(x, y)) for p, q in zip(thai_forms(wa), thai_forms(wb), strict=True) for x in p for y in q) else 0
     if ka == "body":
         if (fa and fb and fa != fb) or len(wa) != len(wb):
             return 0
@@ -302,12 +376,16 @@ def _unpack(text: str) -> tuple:
 
 
 def _is_weak(kind: Column, sig: Column) -> Column:
-    return (kind == "acronym") | ((kind == "person") & (sig.endswith(".") | sig.endswith("\x1f")))
+    return (kind == "acronym") | ((kind == "person") & (sig.endswith(".") | sig.endswith("\x1f") | sig.endswith(SHORT)))
 
 
 def name_clusters(df: DataFrame, name: str, person: Column, *group: str) -> DataFrame:
     """Adds ``cluster`` to the distinct (group, person, name): names of one group with equal clusters stand for the same."""
-    names = df.select(*group, person.alias("person"), F.col(name).alias("name")).filter(F.col("name").isNotNull() & F.col("person").isNotNull()).distinct()
+    names = df.select(*group, person.alias("person"), F.col(name).alias("name")).filter(F.col("name").isNotNull() & F.col("person").isNotNull())
+    # A set number of parts: a small table would else be parsed by one task.
+    spark = df.sparkSession
+    parts = max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    names = names.repartition(parts, *[F.col(c) for c in names.columns]).distinct()
     lead = [f.simpleString().split(":", 1) for f in names.select(*group).schema]
     schema = ", ".join(f"`{n}` {t}" for n, t in lead) + ", person boolean, name string, kind string, sig string, keys array<string>"
 
@@ -323,9 +401,10 @@ def name_clusters(df: DataFrame, name: str, person: Column, *group: str) -> Data
     parsed = cut(names.mapInPandas(parse, schema).filter("sig IS NOT NULL").withColumn("node", node), "names")
     rows = parsed.select(*group, "person", F.explode("keys").alias("_key"), "node", "sig").distinct()
     at = [*group, "person", "_key"]
-    left = rows.select(*at, F.col("node").alias("a"), F.col("sig").alias("_sa"))
-    right = rows.select(*at, F.col("node").alias("b"), F.col("sig").alias("_sb"))
-    met = left.join(right, at).filter("a < b").select("a", "b", "_sa", "_sb").distinct()
+    left = rows.filter(~F.startswith("_key", F.lit(">"))).withColumn("_key", F.regexp_replace("_key", "^<", ">")).select(*at, F.col("node").alias("a"), F.col("sig").alias("_sa"))
+    right = rows.filter(~F.startswith("_key", F.lit("<"))).select(*at, F.col("node").alias("b"), F.col("sig").alias("_sb"))
+    # Names without a given name meet the others from the left only; all else meets in one order.
+    met = left.join(right, at).filter((F.col("a") < F.col("b")) | (F.startswith("_key", F.lit(">")) & (F.col("a") != F.col("b")))).select("a", "b", "_sa", "_sb").distinct()
 
     def judge(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:

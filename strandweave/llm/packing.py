@@ -24,6 +24,7 @@ import os
 from bisect import bisect_left, insort
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import accumulate
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -57,26 +58,38 @@ def encoder(path: str):
 
 
 def token_pieces(text: str, capacity: int, enc) -> list[tuple[int, int, int]]:
-    """(char_start, char_end, tokens) of a text: one piece, or several of at most ``capacity`` tokens."""
+    """(char_start, char_end, tokens) of a text: one piece, or several of at most ``capacity`` tokens.
+
+    The text is encoded once and its tokens are sliced where a character ends; a piece is
+    encoded again only by itself, to count what it has on its own, so the work is linear.
+    """
     ids = enc.encode_ordinary(text)
     if len(ids) <= capacity:
         return [(0, len(text), len(ids))]
-    out, start = [], 0
-    while ids:
-        take = min(capacity, len(ids))
+    raw = text.encode("utf-8", "replace")
+    ends = list(accumulate(map(len, enc.decode_tokens_bytes(ids))))
+    out, at, first, begin = [], 0, 0, 0
+    while at < len(ids):
+        take = min(capacity, len(ids) - at)
         while True:
-            whole = b"".join(enc.decode_tokens_bytes(ids[:take])).decode("utf-8", "ignore")
-            n = len(enc.encode_ordinary(whole))
-            if n <= capacity and whole:
-                break
-            take = take - max(1, n - capacity) if whole and take > 1 else take + 1
-            if take > 4 * capacity + 8:
-                whole = text[start : start + 1]
-                n = len(enc.encode_ordinary(whole))
+            stop = ends[at + take - 1]
+            while stop < len(raw) and raw[stop] & 0xC0 == 0x80 and take > 1:  # inside a character
+                take -= 1
+                stop = ends[at + take - 1]
+            while stop < len(raw) and raw[stop] & 0xC0 == 0x80:  # one character of several tokens
+                stop += 1
+            piece = raw[begin:stop].decode("utf-8")
+            n = len(enc.encode_ordinary(piece))
+            if n <= capacity or take == 1:
                 break
-        out.append((start, start + len(whole), n))
-        start += len(whole)
-        ids = enc.encode_ordinary(text[start:]) if start < len(text) else []
+            take = max(1, take - (n - capacity))
+        while at < len(ids) and ends[at] <= stop:
+            at += 1
+        out.append((first, first + len(piece), n))
+        first, begin = first + len(piece), stop
+    if begin < len(raw):
+        piece = raw[begin:].decode("utf-8")
+        out.append((first, first + len(piece), len(enc.encode_ordinary(piece))))
     return out
 
 

@@ -16,9 +16,11 @@ Defined cases
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..operators.chunking import let, running
+
 
 def _alternatives(room: int, least: int) -> str:
     """Boundaries by strength; each must leave the piece at least ``least`` characters."""
@@ -56,15 +58,28 @@ def piece_pattern(size: int, overlap: int) -> str:
 
 
 def split_oversized(df: DataFrame, text: str, size: int, overlap: int, *keys: str) -> DataFrame:
-    """One row per piece: (keys, piece_no, n_pieces, char_start, char_end, piece). No shuffle, no Python."""
-    cut = df.select(*keys, F.col(text).alias("_text"), F.regexp_extract_all(F.col(text), F.lit(piece_pattern(size, overlap)), F.lit(0)).alias("_units"))
-    cut = cut.filter(F.size("_units") > 0)
-    lengths = F.transform("_units", lambda u: F.length(u))
-    marks = F.aggregate(lengths, F.array(F.lit(0)), lambda seen, n: F.concat(seen, F.array(F.element_at(seen, -1) + n)))
-    each = cut.select(*keys, "_text", F.size("_units").alias("n_pieces"), marks.alias("_marks")).select("*", F.posexplode(F.slice("_marks", 1, F.col("n_pieces"))).alias("_no", "_from"))
-    start = F.greatest(F.lit(0), F.col("_from") - F.when(F.col("_no") == 0, 0).otherwise(overlap))
-    end = F.get("_marks", F.col("_no") + 1)
-    return each.select(*keys, (F.col("_no") + 1).alias("piece_no"), "n_pieces", start.alias("char_start"), end.alias("char_end"), F.col("_text").substr(start + 1, end - start).alias("piece"))
+    """One row per piece: (keys, piece_no, n_pieces, char_start, char_end, piece). No shuffle, no Python.
+
+    A piece is its unit behind the end of what came before, so a row carries its piece and
+    never the whole text. The explode is an outer one: from an inner one the optimizer
+    would infer a filter that matches every text a second time.
+    """
+    short = size - overlap < 8  # units may then be shorter than the overlap
+
+    def pieces(units: Column) -> Column:
+        def of(ends: Column) -> Column:
+            def one(unit: Column, i: Column) -> Column:
+                before = F.array_join(F.slice(units, F.greatest(F.lit(1), i + 1 - (overlap + 1 if short else 2)), F.least(i, F.lit(overlap + 1 if short else 2))), "")
+                back = F.when(i == 0, F.lit("")).otherwise(F.right(before, F.lit(overlap)))
+                return F.struct(F.size(units).alias("n"), (F.get(ends, i) - F.length(back)).alias("start"), F.get(ends, i + 1).alias("end"), F.concat(back, unit).alias("piece"))
+
+            return F.transform(units, one)
+
+        return let(running(F.transform(units, lambda u: F.length(u))), of)
+
+    units = F.regexp_extract_all(F.col(text), F.lit(piece_pattern(size, overlap)), F.lit(0))
+    each = df.select(*keys, F.posexplode_outer(let(units, pieces)).alias("_no", "_p")).filter("_p IS NOT NULL")
+    return each.select(*keys, (F.col("_no") + 1).alias("piece_no"), F.col("_p.n").alias("n_pieces"), F.col("_p.start").alias("char_start"), F.col("_p.end").alias("char_end"), F.col("_p.piece").alias("piece"))
 
 
 def oversized(df: DataFrame, text: str, size: int, overlap: int, key: str) -> DataFrame:
