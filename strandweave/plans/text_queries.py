@@ -118,10 +118,10 @@ def legal_sections(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def legal_section_chunks(spark: SparkSession, sf: str) -> DataFrame:
-    """Chunks of all legal documents, each with its section."""
+    """Chunks of all legal documents, each with its section and its place in the document."""
     d = table(spark, sf, "documents").filter("document_type = 'legal'")
     c = chunking.section_chunks(d, "text", 800, 120, "doc_id")
-    return c.groupBy("section_kind").agg(F.count("*").alias("n_chunks"), F.countDistinct("doc_id").alias("n_docs"), F.sum(F.length("content")).alias("n_chars"))
+    return c.select("doc_id", "chunk_index", "section_kind", "section_number", "section_label", "char_start", "char_end", F.sha2("content", 256).alias("content_sha256"))
 
 
 def slugs(spark: SparkSession, sf: str) -> DataFrame:
@@ -177,7 +177,7 @@ def _kinds_sql() -> str:
 
 _AUTHORITY_SQL = "CASE k " + " ".join(f"WHEN '{k}' THEN {v}" for k, v in legal.AUTHORITY.items()) + " END"
 _DIGITS = "translate({}, '๐๑๒๓๔๕๖๗๘๙', '0123456789')"
-_HEAD = r"(?m)^[ \t]*(มาตรา|ข้อ|หมวด|ส่วนที่|บทเฉพาะกาล|บทนิยาม)\s*([0-9๐-๙]+(?:/[0-9๐-๙]+)?)?\s*(ทวิ|ตรี|จัตวา|เบญจ)?"
+_HEAD = chunking.HEADING
 _SECTIONS = rf"""
 parts AS (SELECT doc_id, string_split(regexp_replace(replace(text, chr(57384), ''), '{_HEAD}', chr(57384) || '\0', 'g'), chr(57384)) AS p FROM documents WHERE document_type = 'legal'),
 raw AS (SELECT doc_id, i - 1 AS section_no, p[i] AS body FROM parts, range(1, len(p) + 1) r(i)),
@@ -240,8 +240,10 @@ SELECT doc_id, CAST(chunk_index AS INT) AS chunk_index, CAST(s AS INT) AS char_s
 FROM walk""",
     "legal_sections": f"WITH {_SECTIONS} SELECT doc_id, section_no, section_kind, section_number, CASE WHEN section_no > 0 THEN concat_ws(' ', section_kind, section_number) END AS section_label, CAST(length(body) AS INT) AS n_chars FROM sections",
     "legal_section_chunks": f"""
-WITH RECURSIVE {_SECTIONS}, flat AS (SELECT doc_id, section_no, section_kind, {_squeeze("body")} AS t FROM sections WHERE length({_squeeze("body")}) > 0), {_CHUNKS.format(keys="doc_id, section_no, section_kind")}
-SELECT section_kind, count(*) AS n_chunks, count(DISTINCT doc_id) AS n_docs, CAST(sum(length(trim(substr(t, s + 1, e - s)))) AS BIGINT) AS n_chars FROM walk GROUP BY 1""",
+WITH RECURSIVE {_SECTIONS}, places AS (SELECT *, sum(length(body)) OVER (PARTITION BY doc_id ORDER BY section_no) - length(body) AS off FROM sections),
+flat AS (SELECT doc_id, section_no, section_kind, section_number, off, {_squeeze("body")} AS t FROM places WHERE length({_squeeze("body")}) > 0), {_CHUNKS.format(keys="doc_id, section_no, section_kind, section_number, off")}
+SELECT doc_id, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY section_no, chunk_index) - 1 AS INT) AS chunk_index, section_kind, section_number, CASE WHEN section_no > 0 THEN concat_ws(' ', section_kind, section_number) END AS section_label,
+  CAST(off + s AS INT) AS char_start, CAST(off + e AS INT) AS char_end, sha256(trim(substr(t, s + 1, e - s))) AS content_sha256 FROM walk""",
     "slugs": r"""
 WITH s AS (SELECT knowledge_base_id, trim(regexp_replace(lower(name), '[^a-z0-9]+', '-', 'g'), '-') AS slug FROM knowledge_bases),
 n AS (SELECT *, row_number() OVER (PARTITION BY slug ORDER BY knowledge_base_id) AS n FROM s)
