@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 
 from ..session import cut
 from .components import connected_components
-from .lookalikes import ordinary
+from .lookalikes import Looks
 
 # Short forms of given names.
 NICKNAMES = {
@@ -271,9 +271,9 @@ def parse_body(name: str) -> dict | None:
     return {"k": "body", "f": form, "w": words} if words else None
 
 
-def signature(name: str | None, person: bool) -> tuple | None:
+def signature(name: str | None, person: bool, looks: Looks) -> tuple | None:
     """(kind, form or family, words) of a name, or none if nothing is left of it."""
-    text = ordinary(name)
+    text = looks.ordinary(name)
     if not text or not text.strip():
         return None
     parsed = parse_person(text) if person else parse_body(text)
@@ -384,6 +384,7 @@ def name_clusters(df: DataFrame, name: str, person: Column, *group: str) -> Data
     names = df.select(*group, person.alias("person"), F.col(name).alias("name")).filter(F.col("name").isNotNull() & F.col("person").isNotNull())
     # A set number of parts: a small table would else be parsed by one task.
     spark = df.sparkSession
+    looks = Looks.of(spark)
     parts = max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
     names = names.repartition(parts, *[F.col(c) for c in names.columns]).distinct()
     lead = [f.simpleString().split(":", 1) for f in names.select(*group).schema]
@@ -391,7 +392,7 @@ def name_clusters(df: DataFrame, name: str, person: Column, *group: str) -> Data
 
     def parse(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            sigs = [signature(n, bool(p)) for n, p in zip(batch["name"], batch["person"], strict=True)]
+            sigs = [signature(n, bool(p), looks) for n, p in zip(batch["name"], batch["person"], strict=True)]
             batch["kind"] = [s[0] if s else None for s in sigs]
             batch["sig"] = [_pack(s) if s else None for s in sigs]
             batch["keys"] = [blocks(*s, bool(p)) if s else [] for s, p in zip(sigs, batch["person"], strict=True)]
@@ -399,12 +400,13 @@ def name_clusters(df: DataFrame, name: str, person: Column, *group: str) -> Data
 
     node = F.xxhash64(*group, "person", "sig")
     parsed = cut(names.mapInPandas(parse, schema).filter("sig IS NOT NULL").withColumn("node", node), "names")
-    rows = parsed.select(*group, "person", F.explode("keys").alias("_key"), "node", "sig").distinct()
-    at = [*group, "person", "_key"]
-    left = rows.filter(~F.startswith("_key", F.lit(">"))).withColumn("_key", F.regexp_replace("_key", "^<", ">")).select(*at, F.col("node").alias("a"), F.col("sig").alias("_sa"))
-    right = rows.filter(~F.startswith("_key", F.lit("<"))).select(*at, F.col("node").alias("b"), F.col("sig").alias("_sb"))
-    # Names without a given name meet the others from the left only; all else meets in one order.
-    met = left.join(right, at).filter((F.col("a") < F.col("b")) | (F.startswith("_key", F.lit(">")) & (F.col("a") != F.col("b")))).select("a", "b", "_sa", "_sb").distinct()
+    # Names of one form are one row in every comparison.
+    # A key is a digest; names without a given name meet the others from the left only, all else meets in one order.
+    each = parsed.dropDuplicates(["node"]).select("node", "sig", *group, "person", F.explode("keys").alias("_k")).withColumn("_side", F.left("_k", F.lit(1)))
+    rows = each.select(F.xxhash64(*group, "person", F.regexp_replace("_k", "^<", ">")).alias("_key"), F.col("_side").isin("<", ">").alias("_open"), "_side", "node", "sig")
+    left = rows.filter("_side <> '>'").select("_key", "_open", F.col("node").alias("a"), F.col("sig").alias("_sa"))
+    right = rows.filter("_side <> '<'").select("_key", F.col("node").alias("b"), F.col("sig").alias("_sb"))
+    met = left.join(right, "_key").filter((F.col("a") < F.col("b")) | (F.col("_open") & (F.col("a") != F.col("b")))).select("a", "b", "_sa", "_sb").distinct()
 
     def judge(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
