@@ -7,6 +7,12 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.text import canonical_name
+
+
+#: The shape of a number; other digits and signs nobody sees do not fit.
+NUMBER = r"\A[+-]?[0-9]+(?:[.][0-9]+)?\z"
+
 
 def published_between(df: DataFrame, day: str, start: str | None, end: str | None) -> DataFrame:
     """Half-open window; an undated row never passes a window. Both ends reach the scan."""
@@ -57,9 +63,24 @@ def search_text(pairs: DataFrame, key: str, order: str, value: str, most: int =
 
 
 def checked(value: Column, kind: Column) -> Column:
-    """A metadata value by its kind, or null where it does not fit: text, number, date, boolean."""
-    number = F.try_to_number(value, F.lit("S9999999999D999999")).cast("string")
+    """A metadata value by its kind, or null where it does not fit: text, number (ASCII digits with a sign and decimals at most), date, boolean."""
+    number = F.when(value.rlike(NUMBER), value)
     day = F.try_to_date(value, "yyyy-MM-dd").cast("string")
     yes = F.lower(F.trim(value))
     flag = F.when(yes.isin("true", "yes", "1", "on"), "true").when(yes.isin("false", "no", "0", "off"), "false")
     return F.when(kind == "number", number).when(kind == "date", day).when(kind == "boolean", flag).otherwise(value)
+
+
+def resolve(asked: DataFrame, name: str, entities: DataFrame, key: str, canon: str, shown: str, aliases: str) -> DataFrame:
+    """(name, step, key): what each name asked for resolves to: 1 the same canonical name, 2 a shown name that contains it, 3 an alias; the least key within a step.
+
+    Names no step knows have no row. Containment is met by windows, never all with all.
+    """
+    from .containment import containing
+
+    same = asked.join(entities, F.col(name) == F.col(canon)).select(name, F.lit(1).alias("step"), key)
+    held = containing(entities.select(key, shown), shown, asked, name, widths=(6, 3, 2, 1)).select(name, F.lit(2).alias("step"), key)
+    other = entities.select(key, F.explode(aliases).alias("_a")).select(key, canonical_name(F.col("_a")).alias("_a"))
+    alias = asked.join(other, F.col(name) == F.col("_a")).select(name, F.lit(3).alias("step"), key)
+    best = same.unionByName(held).unionByName(alias).groupBy(name).agg(F.min(F.struct("step", key)).alias("_m"))
+    return best.select(name, "_m.step", f"_m.{key}")

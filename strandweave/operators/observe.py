@@ -28,25 +28,42 @@ def offered_load(df: DataFrame, key: str, ts: str, seconds: int) -> DataFrame:
     return df.withColumn("_at", at).withColumn("offered", F.count("*").over(w)).drop("_at")
 
 
+def _runs(df: DataFrame, key: str, ts: str, seconds: int) -> DataFrame:
+    """(key, _ts): times of a key in order, parted at pauses of at least the window, after which nothing is held."""
+    at = F.unix_micros(F.col(ts).cast("timestamp"))
+    ordered = Window.partitionBy(key).orderBy("_at")
+    pause = F.coalesce(F.col("_at") - F.lag("_at").over(ordered) >= seconds * 1_000_000, F.lit(True))
+    runs = df.select(key, at.alias("_at")).withColumn("_new", pause.cast("long")).withColumn("_run", F.sum("_new").over(ordered))
+    return runs.groupBy(key, "_run").agg(F.array_sort(F.collect_list("_at")).alias("_ts"))
+
+
 def admitted(df: DataFrame, key: str, ts: str, seconds: int, limit: int) -> DataFrame:
     """(key, offered, admitted): a sliding limit in which only admitted events count.
 
     An ordered fold over the times of a key that remembers at most ``limit`` admitted
-    times. A key is cut only at pauses of at least the window, after which nothing is
-    held; what lies between two such pauses is one group, however long it is.
+    times. A key is parted only at pauses of at least the window; what lies between two
+    such pauses is one group, however long it is.
     """
-    at = F.unix_micros(F.col(ts).cast("timestamp"))
-    ordered = Window.partitionBy(key).orderBy("_at")
-    pause = F.coalesce(F.col("_at") - F.lag("_at").over(ordered) >= seconds * 1_000_000, F.lit(True))
-    runs = df.select(key, at.alias("_at")).withColumn("_new", pause.cast("long")).withColumn("_run", F.sum("_new").over(ordered))
-    times = runs.groupBy(key, "_run").agg(F.array_sort(F.collect_list("_at")).alias("_ts"))
     start = F.struct(F.array().cast("array<bigint>").alias("held"), F.lit(0).cast("long").alias("n"))
 
     def step(acc: Column, t: Column) -> Column:
         live = F.filter(acc["held"], lambda x: x > t - seconds * 1_000_000)
         return F.when(F.size(live) < limit, F.struct(F.array_append(live, t).alias("held"), (acc["n"] + 1).alias("n"))).otherwise(F.struct(live.alias("held"), acc["n"].alias("n")))
 
-    folded = times.select(key, F.size("_ts").alias("_o"), F.aggregate("_ts", start, step, lambda acc: acc["n"]).alias("_a"))
+    folded = _runs(df, key, ts, seconds).select(key, F.size("_ts").alias("_o"), F.aggregate("_ts", start, step, lambda acc: acc["n"]).alias("_a"))
+    return folded.groupBy(key).agg(F.sum("_o").alias("offered"), F.sum("_a").alias("admitted"))
+
+
+def admitted_anchored(df: DataFrame, key: str, ts: str, seconds: int, limit: int) -> DataFrame:
+    """(key, offered, admitted): a limit by windows that open at their first event; rejected events count within them too."""
+    start = F.struct(F.lit(None).cast("bigint").alias("anchor"), F.lit(0).cast("long").alias("c"), F.lit(0).cast("long").alias("n"))
+
+    def step(acc: Column, t: Column) -> Column:
+        inside = F.coalesce(t - acc["anchor"] < seconds * 1_000_000, F.lit(False))
+        count = F.when(inside, acc["c"] + 1).otherwise(1)
+        return F.struct(F.when(inside, acc["anchor"]).otherwise(t).alias("anchor"), count.cast("long").alias("c"), (acc["n"] + (count <= limit).cast("long")).alias("n"))
+
+    folded = _runs(df, key, ts, seconds).select(key, F.size("_ts").alias("_o"), F.aggregate("_ts", start, step, lambda acc: acc["n"]).alias("_a"))
     return folded.groupBy(key).agg(F.sum("_o").alias("offered"), F.sum("_a").alias("admitted"))
 
 

@@ -15,8 +15,8 @@ from ..functions.legal import status_factor
 from ..functions.text import tokens
 
 RRF = 60
-#: Words of a query that the keyword channel looks for.
-QUERY_WORDS = 8
+#: Words of a query that are looked for one by one where no passage holds all of them.
+FALLBACK_WORDS = 8
 
 
 def top(df: DataFrame, score: Column, k: int, *ties: str) -> DataFrame:
@@ -36,32 +36,37 @@ def cosine(a: Column, b: Column) -> Column:
 
 
 def vector_channel(chunks: DataFrame, vector: str, query: list[float], k: int) -> DataFrame:
-    """The k chunks nearest to a query vector; filters belong before this."""
+    """The k chunks nearest to a query vector; filters belong before this. A chunk delivered twice counts once: the narrow scored rows are made distinct, not the chunks."""
     q = F.array(*[F.lit(float(x)) for x in query])
-    scored = chunks.filter(F.col(vector).isNotNull()).select("doc_id", "chunk_id", cosine(F.col(vector), q).alias("_cos")).filter("_cos IS NOT NULL")
+    scored = chunks.filter(F.col(vector).isNotNull()).select("doc_id", "chunk_id", cosine(F.col(vector), q).alias("_cos")).filter("_cos IS NOT NULL").groupBy("doc_id", "chunk_id").agg(F.max("_cos").alias("_cos"))
     return top(scored, F.round("_cos", 6), k, "doc_id", "chunk_id").select("doc_id", "chunk_id", F.round(F.greatest(F.lit(0.0), F.col("_cos")), 6).alias("relevance"), "rank")
 
 
-def keyword_channel(chunks: DataFrame, content: str, query: str, k: int) -> DataFrame:
-    """Chunks that hold every word of the query; where none does, those that hold any.
+def keyword_channel(chunks: DataFrame, content: str, query: str, k: int, metadata: str | None = None) -> DataFrame:
+    """Chunks that hold every word of the query, or whose document's metadata text contains the query; where there is none, those that hold any of the first words.
 
-    Ordered by distinct words matched, then by how often they stand there. A query
-    without a usable word finds nothing.
+    Ordered by distinct words matched, then by how often they stand there, then by key. A
+    query without a usable word finds nothing. Only keys and counts leave the scan.
     """
-    wanted = F.slice(F.array_distinct(tokens(F.lit(query))), 1, QUERY_WORDS)
-    seen = chunks.select("doc_id", "chunk_id", tokens(F.col(content)).alias("_t"))
-    hits = F.filter("_t", lambda t: F.array_contains(wanted, t))
-    seen = seen.select("doc_id", "chunk_id", F.size(F.array_distinct(hits)).alias("_n"), F.size(hits).alias("_tf"), F.size(wanted).alias("_all")).filter("_n > 0")
-    score = F.when(F.col("_n") == F.col("_all"), 1_000_000).otherwise(0) + F.col("_n") * 1000 + F.least(F.col("_tf"), F.lit(999))
-    best = top(seen.withColumn("_s", score), F.col("_s"), k, "doc_id", "chunk_id")
-    whole = F.max((F.col("_n") == F.col("_all")).cast("int")).over(Window.orderBy("rank").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))
-    best = best.withColumn("_whole", whole).filter((F.col("_whole") == 0) | (F.col("_n") == F.col("_all")))
+    words = F.array_distinct(tokens(F.lit(query)))
+    first = F.slice(words, 1, FALLBACK_WORDS)
+    said = F.lit(False) if metadata is None else F.coalesce(F.contains(F.lower(metadata), F.lit(query.lower())), F.lit(False)) & (F.size(words) > 0)
+    seen = chunks.select("doc_id", "chunk_id", tokens(F.col(content)).alias("_t"), said.alias("_said"))
+    hits = F.filter("_t", lambda t: F.array_contains(words, t))
+    some = F.exists("_t", lambda t: F.array_contains(first, t))
+    seen = seen.select("doc_id", "chunk_id", F.size(F.array_distinct(hits)).alias("_n"), F.size(hits).alias("_tf"), F.size(words).alias("_all"), "_said", some.alias("_some"))
+    seen = seen.withColumn("_whole", (F.col("_n") == F.col("_all")) | F.col("_said")).filter((F.col("_n") > 0) | F.col("_said")).filter("_whole OR _some")
+    seen = seen.dropDuplicates(["doc_id", "chunk_id"])
+    best = top(seen, F.struct(F.col("_whole").cast("int"), "_n", "_tf"), k, "doc_id", "chunk_id")
+    any_ = F.max(F.col("_whole").cast("int")).over(Window.orderBy("rank").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))
+    best = best.withColumn("_any", any_).filter((F.col("_any") == 0) | F.col("_whole"))
     return best.select("doc_id", "chunk_id", F.round(1 / F.col("rank"), 6).alias("relevance"), "rank")
 
 
-def exact_channel(chunks: DataFrame, content: str, needle: str, k: int) -> DataFrame:
-    """Chunks that contain a passage, ignoring case, in document order."""
-    found = chunks.filter(F.contains(F.lower(content), F.lit(needle.lower()))).select("doc_id", "chunk_id")
+def exact_channel(chunks: DataFrame, content: str, needle: str, k: int, *others: str) -> DataFrame:
+    """Chunks that contain a passage or identifier, or whose document's title, file name or metadata does, ignoring case, in document order."""
+    hit = reduce(lambda a, b: a | b, [F.coalesce(F.contains(F.lower(c), F.lit(needle.lower())), F.lit(False)) for c in (content, *others)])
+    found = chunks.filter(hit).select("doc_id", "chunk_id").distinct()
     first = found.orderBy("doc_id", "chunk_id").limit(k).withColumn("rank", F.row_number().over(Window.orderBy("doc_id", "chunk_id")))
     return first.select("doc_id", "chunk_id", F.round(1 / F.col("rank"), 6).alias("relevance"), "rank")
 
@@ -119,9 +124,9 @@ def guarantee_current(fused: DataFrame, current: DataFrame, k: int) -> DataFrame
 
 
 def expand_sections(hits: DataFrame, chunks: DataFrame, most: int = 12_000) -> DataFrame:
-    """Each hit section once, as the text of all its chunks in order, cut at ``most`` signs."""
-    keys = ["doc_id", "section_kind"]
+    """Each hit section (document, kind and number) once, as the text of all its chunks in order, cut at ``most`` signs."""
+    keys = [c for c in ("doc_id", "section_kind", "section_number") if c in chunks.columns]
     wanted = hits.select(*keys).distinct()
     whole = chunks.join(wanted, keys, "left_semi").groupBy(*keys).agg(F.sort_array(F.collect_list(F.struct("chunk_index", "content"))).alias("_c"))
-    text = F.array_join(F.transform("_c", lambda x: x["content"]), "\n")
+    text = F.array_join(F.transform("_c", lambda x: x["content"]), "\n\n")
     return whole.select(*keys, F.size("_c").alias("n_chunks"), F.left(text, F.lit(most)).alias("excerpt"))

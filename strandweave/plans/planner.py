@@ -37,48 +37,63 @@ CHANNELS = {
 }
 
 
+#: The switch of a policy that a channel hangs on; looking for a document by its id hangs on none.
+SWITCH = {"vector": "enable_vector", "full_text": "enable_fulltext", "graph": "enable_graph", "external": "enable_lightrag"}
+BOUNDS = {"default_top_k": (1, 30), "maximum_top_k": (1, 50), "maximum_graph_depth": (1, 3), "authority_weight": (0, 1), "recency_weight": (0, 1), "status_weight": (0, 1), "version": (1, None)}
+MODES = ("auto", "balanced", "precision", "recall")
+
+
 @dataclass(frozen=True)
 class Policy:
-    """What a corpus allows; values out of range are brought into it."""
-
-    vector: bool = True
-    full_text: bool = True
-    graph: bool = True
-    external: bool = False
-    reranker: bool = False
+    """What a corpus allows, by the names its stored settings have; a value out of range is an error."""
+
+    version: int = 1
+    retrieval_mode: str = "auto"
+    enable_vector: bool = True
+    enable_fulltext: bool = True
+    enable_graph: bool = True
+    enable_lightrag: bool = True
+    enable_reranker: bool = True
+    planner_llm_fallback: bool = True
+    default_top_k: int = 12
+    maximum_top_k: int = 30
+    maximum_graph_depth: int = 3
+    citation_required: bool = True
+    legal_awareness: bool = True
     exclude_invalid: bool = True
-    mode: str = "balanced"
-    default_top: int = 12
-    most_top: int = 30
-    most_depth: int = 3
-    authority_weight: float = 0.0
-    recency_weight: float = 0.0
-    status_weight: float = 0.0
+    authority_weight: float = 0.30
+    recency_weight: float = 0.15
+    status_weight: float = 0.35
 
     def __post_init__(self):
-        object.__setattr__(self, "most_top", min(max(1, self.most_top), 50))
-        object.__setattr__(self, "most_depth", min(max(1, self.most_depth), 3))
+        for name, (low, high) in BOUNDS.items():
+            value = getattr(self, name)
+            if isinstance(value, bool) or not low <= value <= (value if high is None else high):
+                raise ValueError(f"{name} is out of range")
+        if self.retrieval_mode not in MODES:
+            raise ValueError("retrieval_mode must be one of " + ", ".join(MODES))
 
     def allows(self, channel: str) -> bool:
-        return channel == "exact_document" or bool(getattr(self, channel, False))
+        return channel == "exact_document" or bool(getattr(self, SWITCH.get(channel, ""), False))
 
     @classmethod
     def parse(cls, config: dict | None) -> Policy:
-        """A policy from a stored setting; the defaults where it does not parse."""
+        """A policy from a stored setting; all defaults where anything in it does not parse."""
         try:
-            known = {f.name for f in fields(cls)}
-            return cls(**{k: v for k, v in (config or {}).items() if k in known})
+            known = {f.name: type(f.default) for f in fields(cls)}
+            return cls(**{k: known[k](v) if known[k] in (int, float) and not isinstance(v, bool) else v for k, v in (config or {}).items() if k in known})
         except (TypeError, ValueError):
             return cls()
 
 
 def meet(policies: list[Policy]) -> Policy:
-    """What all policies allow: flags must agree, numbers are the least. The mode is the first one's."""
+    """What all policies allow: flags must agree, numbers are the least. Mode and version are the first one's."""
     if not policies:
         return Policy()
     out = policies[0]
     for p in policies[1:]:
-        out = replace(out, **{f.name: (getattr(out, f.name) and getattr(p, f.name)) if isinstance(getattr(out, f.name), bool) else min(getattr(out, f.name), getattr(p, f.name)) for f in fields(Policy) if f.name != "mode"})
+        both = {f.name: (getattr(out, f.name), getattr(p, f.name)) for f in fields(Policy) if f.name not in ("retrieval_mode", "version")}
+        out = replace(out, **{k: (a and b) if isinstance(a, bool) else min(a, b) for k, (a, b) in both.items()})
     return out
 
 
@@ -136,21 +151,21 @@ def with_intent(questions: DataFrame, question: str) -> DataFrame:
 
 
 def plan(questions: DataFrame, question: str, policy: Policy, wanted: int | None = None) -> DataFrame:
-    """Adds intent, channels, graph_scope, graph_depth, max_sources and the window of publication to every question."""
+    """Adds intent, whether the rules left it ambiguous, channels, graph_scope, graph_depth, max_sources and the window of publication to every question."""
     channels, scope, depth = F.when(F.lit(False), F.array(F.lit(""))), F.when(F.lit(False), F.lit("")), F.when(F.lit(False), F.lit(0))
     for name, (names, where, deep) in CHANNELS.items():
         kept = [c for c in names if policy.allows(c)]
-        if policy.mode == "precision":
+        if policy.retrieval_mode == "precision":
             kept = [c for c in kept if c != "full_text"]
-        elif policy.mode == "recall" and policy.full_text and "full_text" not in kept:
+        elif policy.retrieval_mode == "recall" and policy.enable_fulltext and "full_text" not in kept:
             kept.append("full_text")
         is_ = F.col("intent") == name
         channels = channels.when(is_, F.array(*[F.lit(c) for c in kept]) if kept else F.array().cast("array<string>"))
-        scope, depth = scope.when(is_, where), depth.when(is_, deep or policy.most_depth)
+        scope, depth = scope.when(is_, where), depth.when(is_, deep or policy.maximum_graph_depth)
     out = with_intent(questions, question)
     return out.withColumns({
-        "channels": channels, "graph_scope": scope, "graph_depth": depth, "max_sources": F.lit(min(wanted or policy.default_top, policy.most_top)),
-        "published_to": F.add_months("published_from", 1),
+        "channels": channels, "graph_scope": scope, "graph_depth": depth, "max_sources": F.lit(min(wanted or policy.default_top_k, policy.maximum_top_k)),
+        "published_to": F.add_months("published_from", 1), "ambiguous": F.col("intent") == "semantic_hybrid",
     })
 
 
@@ -158,10 +173,10 @@ def clamp(proposed: dict, base: dict, policy: Policy, question: str, wanted: int
     """A plan proposed from outside, held to the policy: allowed channels only, the vector channel kept for Thai questions, numbers within bounds."""
     channels = [c for c in proposed.get("channels", []) if policy.allows(c)]
     thai = sum("฀" <= c <= "๿" for c in question) / max(1, len(question))
-    if thai >= 0.2 and policy.vector and "vector" not in channels:
+    if thai >= 0.2 and policy.enable_vector and "vector" not in channels:
         channels.append("vector")
-    most = min(wanted or policy.default_top, policy.most_top)
+    most = min(wanted or policy.default_top_k, policy.maximum_top_k)
     return base | {
         "intent": str(proposed.get("intent") or base.get("intent"))[:80], "channels": channels, "max_sources": min(int(proposed.get("max_sources", most)), most),
-        "graph_depth": min(max(1, int(proposed.get("graph_depth", 1))), policy.most_depth), "planner": "external",
+        "graph_depth": min(max(1, int(proposed.get("graph_depth", 1))), policy.maximum_graph_depth), "planner": "external",
     }

@@ -48,9 +48,9 @@ def inventory_counts(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def inventory_members(spark: SparkSession, sf: str) -> DataFrame:
-    """Documents of each type and corpus: how many, and a digest of their ids in order."""
-    d = table(spark, sf, "documents").groupBy("knowledge_base_id", "document_type").agg(F.count("*").alias("n"), F.sort_array(F.collect_list("doc_id")).alias("_ids"))
-    return d.select("knowledge_base_id", "document_type", "n", F.get("_ids", F.lit(0)).alias("first_id"), F.element_at("_ids", -1).alias("last_id"), F.md5(F.array_join("_ids", ",")).alias("digest"))
+    """Documents of each type and corpus: how many, the first and last id, and a check sum of the ids; no group is gathered."""
+    d = table(spark, sf, "documents").groupBy("knowledge_base_id", "document_type")
+    return d.agg(F.count("*").alias("n"), F.min("doc_id").alias("first_id"), F.max("doc_id").alias("last_id"), F.sum(F.pmod(F.col("doc_id") * 7919, F.lit(1_000_003))).alias("check_sum"))
 
 
 def metadata_contains(spark: SparkSession, sf: str) -> DataFrame:
@@ -112,6 +112,11 @@ def admitted_load(spark: SparkSession, sf: str) -> DataFrame:
     return observe.admitted(table(spark, sf, "events"), "user_id", "ts", 21_600, 2)
 
 
+def anchored_load(spark: SparkSession, sf: str) -> DataFrame:
+    """Events admitted by windows of six hours that open at their first event and count rejected events too, by user."""
+    return observe.admitted_anchored(table(spark, sf, "events"), "user_id", "ts", 21_600, 2)
+
+
 def retention_cut(spark: SparkSession, sf: str) -> DataFrame:
     """Runs and spans kept after the old ones are dropped."""
     e = table(spark, sf, "events")
@@ -152,9 +157,9 @@ def amended_editions(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def order_prices(spark: SparkSession, sf: str) -> DataFrame:
-    """For every shipped line the latest order of the same customer group before it: an as-of join over a hot key."""
+    """For every order the latest order of the same customer group before its day: an as-of join over hot keys."""
     o = table(spark, sf, "orders").select((F.col("o_custkey") % 25).alias("g"), "o_orderkey", F.col("o_orderdate").cast("date").alias("d"))
-    left = o.filter("o_orderkey % 2 = 0").select("g", F.col("o_orderkey").alias("id"), F.date_sub("d", 1).alias("day"))
+    left = o.select("g", F.col("o_orderkey").alias("id"), F.date_sub("d", 1).alias("day"))
     right = o.groupBy("g", "d").agg(F.max("o_orderkey").alias("prior"))
     out = registry.as_of(left, right, "g", "day", "d", "prior")
     return out.groupBy("g").agg(F.count("*").alias("n"), F.count("prior").alias("n_prior"), F.sum("prior").alias("sum_prior"))
@@ -297,12 +302,12 @@ SQL = {
     "publication_window": "SELECT doc_id, published_at, document_type FROM documents WHERE published_at >= DATE '2018-01-01' AND published_at < DATE '2021-01-01'",
     "metadata_division": "WITH v AS (SELECT DISTINCT value_id, doc_id, field_key, value_text FROM document_metadata_values) SELECT doc_id FROM v WHERE (field_key = 'classification' AND value_text = 'restricted') OR (field_key = 'budget_year' AND value_text = '2561') GROUP BY 1 HAVING count(DISTINCT field_key) = 2 UNION SELECT doc_id FROM v WHERE field_key = 'classification' AND value_text = 'ลับ'",
     "metadata_search_text": "WITH v AS (SELECT DISTINCT value_id, doc_id, field_key, value_text FROM document_metadata_values WHERE value_text IS NOT NULL) SELECT doc_id, left(string_agg(value_text, ' ' ORDER BY field_key, value_text), 10000) AS search_text FROM v GROUP BY 1",
-    "metadata_checked": "WITH v AS (SELECT DISTINCT value_id, field_key, value_text FROM document_metadata_values) SELECT field_key, count(*) AS n, count(CASE WHEN field_key <> 'budget_year' THEN value_text WHEN regexp_full_match(translate(value_text, '๐๑๒๓๔๕๖๗๘๙', '0123456789'), '[0-9]{1,10}') THEN value_text END) AS n_valid FROM v GROUP BY 1",
+    "metadata_checked": "WITH v AS (SELECT DISTINCT value_id, field_key, value_text FROM document_metadata_values) SELECT field_key, count(*) AS n, count(CASE WHEN field_key <> 'budget_year' THEN value_text WHEN regexp_full_match(translate(value_text, '๐๑๒๓๔๕๖๗๘๙', '0123456789'), '[+-]?[0-9]+([.][0-9]+)?') THEN value_text END) AS n_valid FROM v GROUP BY 1",
     "inventory_counts": """
 WITH i AS (SELECT doc_id, min(kind) AS legal_kind, min(document_class) AS document_class, min(status) AS legal_status FROM legal_instruments WHERE doc_id IS NOT NULL GROUP BY 1), d AS (SELECT document_type, legal_kind, document_class, legal_status FROM documents LEFT JOIN i USING (doc_id))
 SELECT 'document_type' AS dimension, document_type AS key, count(*) AS n FROM d GROUP BY 2 UNION ALL SELECT 'legal_kind', legal_kind, count(*) FROM d WHERE legal_kind IS NOT NULL GROUP BY 2
 UNION ALL SELECT 'document_class', document_class, count(*) FROM d WHERE document_class IS NOT NULL GROUP BY 2 UNION ALL SELECT 'legal_status', legal_status, count(*) FROM d WHERE legal_status IS NOT NULL GROUP BY 2""",
-    "inventory_members": "SELECT knowledge_base_id, document_type, count(*) AS n, min(doc_id) AS first_id, max(doc_id) AS last_id, md5(string_agg(CAST(doc_id AS VARCHAR), ',' ORDER BY doc_id)) AS digest FROM documents GROUP BY 1, 2",
+    "inventory_members": "SELECT knowledge_base_id, document_type, count(*) AS n, min(doc_id) AS first_id, max(doc_id) AS last_id, CAST(sum(doc_id * 7919 % 1000003) AS BIGINT) AS check_sum FROM documents GROUP BY 1, 2",
     "metadata_contains": "SELECT doc_id FROM documents WHERE contains(lower(title), 'office') OR doc_id IN (SELECT doc_id FROM document_metadata_values WHERE contains(lower(value_text), 'office'))",
     "visible_corpora": "WITH d AS (SELECT knowledge_base_id IN (SELECT knowledge_base_id FROM knowledge_bases WHERE status = 'active') AS v FROM documents) SELECT 'visible' AS scope, count(*) FILTER (v) AS n FROM d UNION ALL SELECT 'hidden', count(*) FILTER (NOT v) FROM d",
     "dashboard": "SELECT count(*) AS total, count(*) FILTER (event_type = 'error') AS errors, count(*) FILTER (event_type = 'click') AS clicks, count(*) FILTER (event_type IN ('view', 'click')) AS queued, count(*) FILTER (value > 50) AS large FROM events",
@@ -312,6 +317,18 @@ UNION ALL SELECT 'document_class', document_class, count(*) FROM d WHERE documen
     "keyset_page": "SELECT event_id, event_type, value FROM events WHERE ts < TIMESTAMP '2024-01-15' ORDER BY ts DESC, event_id DESC LIMIT 51",
     "request_metrics": "SELECT event_type, count(*) AS n, round(sum(value), 6) AS total_seconds, round(avg(value), 6) AS mean_seconds FROM events GROUP BY 1",
     "offered_load": "SELECT user_id, max(n) AS peak FROM (SELECT user_id, count(*) OVER (PARTITION BY user_id ORDER BY ts RANGE BETWEEN INTERVAL 3600 SECONDS PRECEDING AND CURRENT ROW) AS n FROM events) GROUP BY 1",
+    "admitted_load": """
+WITH RECURSIVE e AS (SELECT user_id, epoch_us(ts) AS t, row_number() OVER (PARTITION BY user_id ORDER BY ts) AS k FROM events WHERE ts IS NOT NULL),
+f AS (SELECT user_id, 0 AS k, CAST([] AS BIGINT[]) AS held, 0 AS n FROM events GROUP BY 1
+  UNION ALL SELECT e.user_id, CAST(e.k AS INT), CASE WHEN len(list_filter(held, lambda x: x > t - 21600000000)) < 2 THEN list_append(list_filter(held, lambda x: x > t - 21600000000), t) ELSE list_filter(held, lambda x: x > t - 21600000000) END,
+    n + CASE WHEN len(list_filter(held, lambda x: x > t - 21600000000)) < 2 THEN 1 ELSE 0 END FROM f JOIN e ON e.user_id = f.user_id AND e.k = f.k + 1)
+SELECT user_id, CAST(max(k) AS BIGINT) AS offered, CAST(max(n) AS BIGINT) AS admitted FROM f GROUP BY 1""",
+    "anchored_load": """
+WITH RECURSIVE e AS (SELECT user_id, epoch_us(ts) AS t, row_number() OVER (PARTITION BY user_id ORDER BY ts) AS k FROM events WHERE ts IS NOT NULL),
+f AS (SELECT user_id, 0 AS k, CAST(-1e18 AS BIGINT) AS anchor, 0 AS c, 0 AS n FROM events GROUP BY 1
+  UNION ALL SELECT e.user_id, CAST(e.k AS INT), CASE WHEN t - anchor < 21600000000 THEN anchor ELSE t END, CASE WHEN t - anchor < 21600000000 THEN c + 1 ELSE 1 END, n + CASE WHEN (CASE WHEN t - anchor < 21600000000 THEN c + 1 ELSE 1 END) <= 2 THEN 1 ELSE 0 END
+  FROM f JOIN e ON e.user_id = f.user_id AND e.k = f.k + 1)
+SELECT user_id, CAST(max(k) AS BIGINT) AS offered, CAST(max(n) AS BIGINT) AS admitted FROM f GROUP BY 1""",
     "retention_cut": "WITH r AS (SELECT user_id, max(ts) AS ts FROM events GROUP BY 1) SELECT 'runs' AS what, count(*) AS n FROM r WHERE ts >= TIMESTAMP '2024-01-29' UNION ALL SELECT 'spans', count(*) FROM events WHERE user_id NOT IN (SELECT user_id FROM r WHERE ts < TIMESTAMP '2024-01-29')",
     "span_offsets": """
 WITH e AS (SELECT user_id, event_id, CASE WHEN event_id % 3 > 0 THEN CAST(trunc(value * 100) AS BIGINT) END AS off, event_id % 50 AS dur FROM events),
@@ -327,7 +344,7 @@ SELECT user_id, count(*) AS n_sessions, max(n) AS longest FROM n GROUP BY 1""",
 WITH m AS (SELECT knowledge_base_id, version_date AS d, max(instrument_id) AS target FROM legal_instruments WHERE document_class IN ('main', 'consolidated') AND version_date IS NOT NULL GROUP BY 1, 2)
 SELECT a.instrument_id, m.target AS target_id, m.d AS as_of_day FROM (SELECT * FROM legal_instruments WHERE document_class = 'amendment' AND version_date IS NOT NULL) a ASOF LEFT JOIN m ON a.knowledge_base_id = m.knowledge_base_id AND a.version_date >= m.d""",
     "order_prices": """
-WITH o AS (SELECT o_custkey % 25 AS g, o_orderkey, CAST(o_orderdate AS DATE) AS d FROM orders), l AS (SELECT g, o_orderkey AS id, d - 1 AS day FROM o WHERE o_orderkey % 2 = 0), r AS (SELECT g, d, max(o_orderkey) AS prior FROM o GROUP BY 1, 2)
+WITH o AS (SELECT o_custkey % 25 AS g, o_orderkey, CAST(o_orderdate AS DATE) AS d FROM orders), l AS (SELECT g, o_orderkey AS id, d - 1 AS day FROM o), r AS (SELECT g, d, max(o_orderkey) AS prior FROM o GROUP BY 1, 2)
 SELECT l.g, count(*) AS n, count(prior) AS n_prior, CAST(sum(prior) AS BIGINT) AS sum_prior FROM l ASOF LEFT JOIN r ON l.g = r.g AND l.day >= r.d GROUP BY 1""",
     "version_status": rf"""
 WITH {_FAMILY},
@@ -373,6 +390,6 @@ SELECT component, count(*) AS n FROM (SELECT node, min(root) AS component FROM w
 
 QUERIES = {f.__name__: f for f in (
     publication_window, metadata_division, metadata_search_text, metadata_checked, inventory_counts, inventory_members, metadata_contains, visible_corpora, dashboard, error_codes, latest_per_user, offset_page, keyset_page,
-    request_metrics, offered_load, admitted_load, retention_cut, span_offsets, user_sessions, metric_lines, holding_instruments, amended_editions, order_prices, version_status, conflict_validation, worklist, filter_cascade,
+    request_metrics, offered_load, admitted_load, anchored_load, retention_cut, span_offsets, user_sessions, metric_lines, holding_instruments, amended_editions, order_prices, version_status, conflict_validation, worklist, filter_cascade,
     sole_settings, sub_works, bfs_depth3, impact_paths, evidence_components, component_leads, degree_rank, source_recount, reindex_queue, pricing_summary, nation_revenue, stream_daily, stream_first_seen,
 )}

@@ -6,14 +6,20 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import text
-from ..operators import metadata, retrieval
+from ..operators import chunking, containment, metadata, retrieval
+from ..session import cut
 from ..sources.tables import table
-from . import planner
+from . import planner, text_queries
 
 QUESTION = "tenant applicant register"
 NEEDLE = "in accordance with"
 
 
+def _raw(spark: SparkSession, sf: str) -> DataFrame:
+    """Chunks as delivered; channels make their narrow rows distinct."""
+    return table(spark, sf, "document_chunks")
+
+
 def _chunks(spark: SparkSession, sf: str) -> DataFrame:
     """Chunks once each: those delivered twice are alike but for their time of loading."""
     c = table(spark, sf, "document_chunks")
@@ -35,32 +41,33 @@ def vector_topk(spark: SparkSession, sf: str) -> DataFrame:
 def vector_topk_filtered(spark: SparkSession, sf: str) -> DataFrame:
     """The 12 chunks nearest to the first embedding, of documents published within a window."""
     docs = metadata.published_between(table(spark, sf, "documents").filter("status = 'completed'"), "published_at", "2015-01-01", "2022-01-01").select("doc_id")
-    c = _chunks(spark, sf).join(docs, "doc_id", "left_semi")
+    c = _raw(spark, sf).join(docs, "doc_id", "left_semi")
     return retrieval.vector_channel(c, "embedding", _probe(spark, sf), 12)
 
 
 def keyword_chunks(spark: SparkSession, sf: str) -> DataFrame:
     """The 20 best chunks that hold every word of a question."""
-    return retrieval.keyword_channel(_chunks(spark, sf), "content", QUESTION, 20)
+    return retrieval.keyword_channel(_raw(spark, sf), "content", QUESTION, 20)
 
 
 def keyword_any(spark: SparkSession, sf: str) -> DataFrame:
     """The 20 best chunks by any word, where none holds all of them."""
-    return retrieval.keyword_channel(_chunks(spark, sf), "content", "quarry zzqx harbour", 20)
+    return retrieval.keyword_channel(_raw(spark, sf), "content", "quarry zzqx harbour", 20)
 
 
 def exact_passage(spark: SparkSession, sf: str) -> DataFrame:
     """The first 25 chunks that contain a phrase."""
-    return retrieval.exact_channel(_chunks(spark, sf), "content", NEEDLE, 25)
+    return retrieval.exact_channel(_raw(spark, sf), "content", NEEDLE, 25)
 
 
 def _ranked(spark: SparkSession, sf: str) -> DataFrame:
-    c = _chunks(spark, sf)
-    return retrieval.fan_in({
+    c = _raw(spark, sf)
+    ranked = retrieval.fan_in({
         "exact_document": retrieval.exact_channel(c, "content", NEEDLE, 20),
         "vector": retrieval.vector_channel(c, "embedding", _probe(spark, sf), 20),
         "full_text": retrieval.keyword_channel(c, "content", QUESTION, 20),
     })
+    return cut(ranked, "ranked")  # sixty rows, named several times by the fusion
 
 
 def _meta(spark: SparkSession, sf: str) -> DataFrame:
@@ -90,11 +97,17 @@ def current_guarantee(spark: SparkSession, sf: str) -> DataFrame:
     return retrieval.guarantee_current(retrieval.fuse(_ranked(spark, sf)), current, 10)
 
 
+def _sections(spark: SparkSession, sf: str) -> DataFrame:
+    """Chunks of the legal documents as this library cuts them, each with its section."""
+    d = table(spark, sf, "documents").filter("document_type = 'legal' AND status = 'completed'")
+    return chunking.section_chunks(d, "text", 800, 120, "doc_id")
+
+
 def section_expand(spark: SparkSession, sf: str) -> DataFrame:
-    """Sections of the exact hits as whole texts."""
-    c = _chunks(spark, sf).filter("section_kind IS NOT NULL")
-    hits = c.join(retrieval.exact_channel(c, "content", NEEDLE, 15), ["doc_id", "chunk_id"], "left_semi").select("doc_id", "section_kind")
-    return retrieval.expand_sections(hits, c).select("doc_id", "section_kind", "n_chunks", F.length("excerpt").alias("n_chars"), F.sha2("excerpt", 256).alias("digest"))
+    """Sections of the exact hits as whole texts: document, kind and number name a section."""
+    c = _sections(spark, sf).filter("section_number IS NOT NULL").withColumnRenamed("chunk_index", "chunk_id").withColumn("chunk_index", F.col("chunk_id"))
+    hits = c.join(retrieval.exact_channel(c, "content", NEEDLE, 15), ["doc_id", "chunk_id"], "left_semi").select("doc_id", "section_kind", "section_number")
+    return retrieval.expand_sections(hits, c).select("doc_id", "section_kind", "section_number", "n_chunks", F.length("excerpt").alias("n_chars"), F.sha2("excerpt", 256).alias("digest"))
 
 
 def citation_gate(spark: SparkSession, sf: str) -> DataFrame:
@@ -116,21 +129,24 @@ def evidence_labels(spark: SparkSession, sf: str) -> DataFrame:
     return i.select("instrument_id", F.concat_ws(" | ", "display_title", "official_number", status, F.col("effective_from").cast("string")).alias("label"))
 
 
-def entity_cascade(spark: SparkSession, sf: str) -> DataFrame:
-    """For every reviewed name the entity it resolves to: the same canonical name, else one whose name contains it, else an alias; the least id within a step."""
+def _asked(spark: SparkSession, sf: str) -> DataFrame:
+    """Every name, every alias and the first word of every name, as they may be asked for."""
     e = table(spark, sf, "knowledge_entities")
-    live = e.filter("deleted_at IS NULL").select("entity_id", text.canonical_name(F.col("name")).alias("canon"), "aliases")
-    asked = e.filter("entity_type = 'System'").select(text.canonical_name(F.col("name")).alias("asked")).distinct()
-    same = asked.join(live, F.col("asked") == F.col("canon")).select("asked", F.lit(1).alias("step"), "entity_id")
-    alias = live.select("entity_id", F.explode("aliases").alias("a")).select("entity_id", text.canonical_name(F.col("a")).alias("canon"))
-    other = asked.join(alias, F.col("asked") == F.col("canon")).select("asked", F.lit(3).alias("step"), "entity_id")
-    return same.unionByName(other).groupBy("asked").agg(F.min(F.struct("step", "entity_id")).alias("m")).select("asked", "m.step", "m.entity_id")
+    name = F.col("name")
+    said = e.select(F.explode(F.concat(F.array(name, F.element_at(F.split(text.squeeze(name), " "), 1)), F.coalesce("aliases", F.array().cast("array<string>")))).alias("t"))
+    return said.select(text.canonical_name(F.col("t")).alias("asked")).filter(F.length("asked") > 0).distinct()
+
+
+def entity_cascade(spark: SparkSession, sf: str) -> DataFrame:
+    """For everything that may be asked the entity it resolves to: the same canonical name, else one whose name contains it, else an alias; the least id within a step."""
+    live = table(spark, sf, "knowledge_entities").filter("deleted_at IS NULL").select("entity_id", text.canonical_name(F.col("name")).alias("canon"), F.lower("name").alias("name"), "aliases")
+    return metadata.resolve(_asked(spark, sf), "asked", live, "entity_id", "canon", "name", "aliases")
 
 
 def intents(spark: SparkSession, sf: str) -> DataFrame:
     """The plan of every held-out question."""
     q = table(spark, sf, "golden_items").select("item_id", "question")
-    p = planner.plan(q, "question", planner.meet([planner.Policy(), planner.Policy(most_depth=2, default_top=10)]))
+    p = planner.plan(q, "question", planner.meet([planner.Policy(), planner.Policy(maximum_graph_depth=2, default_top_k=10)]))
     return p.select("item_id", "intent", F.array_join("channels", ",").alias("channels"), "graph_scope", "graph_depth", "max_sources")
 
 
@@ -144,7 +160,7 @@ _CHUNKS_SQL = "chunks AS (SELECT chunk_id, min(doc_id) AS doc_id, min(chunk_inde
 _PROBE_SQL = "probe AS (SELECT CAST(embedding AS DOUBLE[]) AS q FROM embeddings ORDER BY vec_id LIMIT 1)"
 _COS = "list_cosine_similarity(CAST(embedding AS DOUBLE[]), q)"
 _VECTOR = "SELECT doc_id, chunk_id, cos, row_number() OVER (ORDER BY round(cos, 6) DESC, doc_id, chunk_id) AS rank FROM (SELECT doc_id, chunk_id, {cos} AS cos FROM {src}, probe WHERE embedding IS NOT NULL AND list_sum(list_transform(embedding, lambda x: x * x)) > 0)"
-_KEY = """SELECT doc_id, chunk_id, n, tf, row_number() OVER (ORDER BY (CASE WHEN n = {all} THEN 1000000 ELSE 0 END) + n * 1000 + least(tf, 999) DESC, doc_id, chunk_id) AS rank
+_KEY = """SELECT doc_id, chunk_id, n, tf, row_number() OVER (ORDER BY (n = {all}) DESC, n DESC, tf DESC, doc_id, chunk_id) AS rank
   FROM (SELECT doc_id, chunk_id, len(list_distinct(h)) AS n, len(h) AS tf FROM (SELECT doc_id, chunk_id, list_filter(regexp_extract_all(lower(content), '[\\p{{L}}\\p{{N}}_-]+'), lambda t: t IN ({words})) AS h FROM chunks) WHERE len(h) > 0)"""
 _WORDS = "'tenant', 'applicant', 'register'"
 _KEY3 = _KEY.format(all=3, words=_WORDS)
@@ -182,6 +198,9 @@ def _canon(column: str) -> str:
     return "lower(trim(regexp_replace(" + column + r", '[\s\x1c-\x1f\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]+', ' ', 'g')))"
 
 
+_SECTION_CHUNKS = f"""{text_queries.SECTIONS_SQL}, flat AS (SELECT doc_id, section_no, section_kind, section_number, {text_queries.squeeze_sql("body")} AS t FROM sections WHERE length({text_queries.squeeze_sql("body")}) > 0 AND doc_id IN (SELECT doc_id FROM documents WHERE status = 'completed')),
+{text_queries.CHUNKS_SQL.format(keys="doc_id, section_no, section_kind, section_number")},
+cut AS (SELECT doc_id, section_kind, section_number, row_number() OVER (PARTITION BY doc_id ORDER BY section_no, chunk_index) - 1 AS chunk_index, trim(substr(t, s + 1, e - s)) AS content FROM walk)"""
 _PLANS = "CASE intent " + " ".join(f"WHEN '{k}' THEN '{','.join(c for c in v[0] if planner.Policy().allows(c))}'" for k, v in planner.CHANNELS.items()) + " END"
 
 SQL = {
@@ -198,18 +217,19 @@ cur AS (SELECT DISTINCT doc_id FROM legal_instruments WHERE status = 'in_force'
 fill AS (SELECT * FROM pool WHERE doc_id IN (SELECT doc_id FROM cur) AND doc_id NOT IN (SELECT doc_id FROM pool WHERE position <= 10) QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY position) = 1 ORDER BY position LIMIT 10),
 both_ AS (SELECT *, false AS backfilled FROM pool WHERE position <= 10 - (SELECT count(*) FROM fill) UNION ALL SELECT *, true FROM fill)
 SELECT CAST(row_number() OVER (ORDER BY backfilled, position) AS INT) AS place, doc_id, chunk_id, score, backfilled FROM both_""",
-    "section_expand": f"""WITH {_CHUNKS_SQL}, c AS (SELECT * FROM chunks WHERE section_kind IS NOT NULL), h AS (SELECT doc_id, section_kind FROM c WHERE contains(lower(content), '{NEEDLE}') ORDER BY doc_id, chunk_id LIMIT 15),
-w AS (SELECT doc_id, section_kind, count(*) AS n, left(string_agg(content, chr(10) ORDER BY chunk_index, content), 12000) AS x FROM c WHERE (doc_id, section_kind) IN (SELECT (doc_id, section_kind) FROM h) GROUP BY 1, 2)
-SELECT doc_id, section_kind, CAST(n AS INT) AS n_chunks, CAST(length(x) AS INT) AS n_chars, sha256(x) AS digest FROM w""",
+    "section_expand": f"""WITH RECURSIVE {_SECTION_CHUNKS}, c AS (SELECT * FROM cut WHERE section_number IS NOT NULL), h AS (SELECT DISTINCT doc_id, section_kind, section_number FROM (SELECT * FROM c WHERE contains(lower(content), '{NEEDLE}') ORDER BY doc_id, chunk_index LIMIT 15)),
+w AS (SELECT doc_id, section_kind, section_number, count(*) AS n, left(string_agg(content, chr(10) || chr(10) ORDER BY chunk_index), 12000) AS x FROM c JOIN h USING (doc_id, section_kind, section_number) GROUP BY 1, 2, 3)
+SELECT doc_id, section_kind, section_number, CAST(n AS INT) AS n_chunks, CAST(length(x) AS INT) AS n_chars, sha256(x) AS digest FROM w""",
     "citation_gate": """
 WITH e AS (SELECT event_id, event_id % 7 AS n FROM events WHERE event_type = 'view')
 SELECT event_id, CASE WHEN n = 6 THEN '' ELSE 'S' || (n + 1) || ',S' || (n + 9) END AS cited, CASE WHEN n = 6 THEN '' WHEN n + 9 <= 12 THEN 'S' || (n + 1) || ',S' || (n + 9) ELSE 'S' || (n + 1) END AS valid,
   CASE WHEN n = 6 THEN 'DROP_ANSWER' WHEN n + 9 > 12 THEN 'DROP_ANSWER_NARROW' ELSE 'NARROW' END AS action FROM e""",
     "evidence_labels": "SELECT instrument_id, concat_ws(' | ', display_title, official_number, CASE WHEN status <> 'unknown' THEN status END, CAST(effective_from AS VARCHAR)) AS label FROM legal_instruments",
     "entity_cascade": f"""
-WITH live AS (SELECT entity_id, {_canon("name")} AS canon, aliases FROM knowledge_entities WHERE deleted_at IS NULL), asked AS (SELECT DISTINCT {_canon("name")} AS asked FROM knowledge_entities WHERE entity_type = 'System'),
-al AS (SELECT entity_id, {_canon("a")} AS canon FROM (SELECT entity_id, unnest(aliases) AS a FROM live)),
-hits AS (SELECT asked, 1 AS step, entity_id FROM asked JOIN live ON asked = canon UNION ALL SELECT asked, 3, entity_id FROM asked JOIN al ON asked = canon)
+WITH live AS (SELECT entity_id, {_canon("name")} AS canon, lower(name) AS low, aliases FROM knowledge_entities WHERE deleted_at IS NULL),
+said AS (SELECT name AS t FROM knowledge_entities UNION ALL SELECT string_split({_canon("name")}, ' ')[1] FROM knowledge_entities UNION ALL SELECT unnest(aliases) FROM knowledge_entities),
+asked AS (SELECT DISTINCT {_canon("t")} AS asked FROM said WHERE length({_canon("t")}) > 0), al AS (SELECT entity_id, {_canon("a")} AS canon FROM (SELECT entity_id, unnest(aliases) AS a FROM live)),
+hits AS (SELECT asked, 1 AS step, entity_id FROM asked JOIN live ON asked = canon UNION ALL SELECT asked, 2, entity_id FROM asked JOIN live ON contains(low, asked) UNION ALL SELECT asked, 3, entity_id FROM asked JOIN al ON asked = canon)
 SELECT asked, step, entity_id FROM hits QUALIFY row_number() OVER (PARTITION BY asked ORDER BY step, entity_id) = 1""",
     "intents": f"WITH q AS (SELECT item_id, {_intent_sql('question')[0]} AS intent FROM golden_items) SELECT item_id, intent, {_PLANS} AS channels, CASE WHEN intent IN ('relationship_local', 'entity_lookup', 'impact_analysis', 'legal_provision') THEN 'local' WHEN intent IN ('semantic_global', 'graph_global') THEN 'global' ELSE 'none' END AS graph_scope, CASE WHEN intent = 'impact_analysis' THEN 2 ELSE 1 END AS graph_depth, 10 AS max_sources FROM q",
     "title_intents": f"WITH q AS (SELECT coalesce(title, '') AS q FROM documents UNION ALL SELECT name FROM knowledge_entities UNION ALL SELECT coalesce(value_text, '') FROM document_metadata_values), i AS (SELECT {_intent_sql('q')[0]} AS intent, len({_intent_sql('q')[1]}) AS n_ids FROM q) SELECT intent, count(*) AS n, CAST(sum(n_ids) AS BIGINT) AS n_ids FROM i GROUP BY 1",

@@ -13,7 +13,7 @@ from ..sources.tables import table
 _SPACE = r"[\s\x1c-\x1f\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
 
 
-def _squeeze(column: str) -> str:
+def squeeze_sql(column: str) -> str:
     return "trim(regexp_replace(" + column + ", '" + _SPACE + "+', ' ', 'g'))"
 
 
@@ -178,7 +178,7 @@ def _kinds_sql() -> str:
 _AUTHORITY_SQL = "CASE k " + " ".join(f"WHEN '{k}' THEN {v}" for k, v in legal.AUTHORITY.items()) + " END"
 _DIGITS = "translate({}, '๐๑๒๓๔๕๖๗๘๙', '0123456789')"
 _HEAD = chunking.HEADING
-_SECTIONS = rf"""
+SECTIONS_SQL = rf"""
 parts AS (SELECT doc_id, string_split(regexp_replace(replace(text, chr(57384), ''), '{_HEAD}', chr(57384) || '\0', 'g'), chr(57384)) AS p FROM documents WHERE document_type = 'legal'),
 raw AS (SELECT doc_id, i - 1 AS section_no, p[i] AS body FROM parts, range(1, len(p) + 1) r(i)),
 sections AS (
@@ -186,7 +186,7 @@ sections AS (
     CASE WHEN section_no = 0 THEN 'preamble' ELSE nullif(regexp_extract(body, '{_HEAD}', 1), '') END AS section_kind,
     CASE WHEN section_no > 0 THEN {_DIGITS.format(f"nullif(regexp_extract(body, '{_HEAD}', 2), '')")} || coalesce(' ' || nullif(regexp_extract(body, '{_HEAD}', 3), ''), '') END AS section_number
   FROM raw WHERE length(body) > 0)"""
-_CHUNKS = """
+CHUNKS_SQL = """
 walk AS (
   SELECT {keys}, t, 0 AS chunk_index, 0 AS s, CASE WHEN length(t) > 800 THEN 800 - coalesce(nullif(instr(reverse(substr(t, 401, 400)), ' '), 0), 0) ELSE length(t) END AS e FROM flat
   UNION ALL
@@ -228,20 +228,20 @@ FROM n""",
     "instrument_families": f"""
 WITH a AS (SELECT instrument_id, regexp_replace(trim(display_title), '{legal.VERSION}', '') AS t FROM legal_instruments WHERE display_title IS NOT NULL),
 b AS (SELECT instrument_id, CASE WHEN regexp_matches(t, '{legal.BUDDHIST_YEAR}') THEN regexp_replace(t, '{legal.BUDDHIST_YEAR}', '') ELSE regexp_replace(t, '{legal.COMMON_YEAR}', '') END AS t FROM a)
-SELECT lower({_squeeze("t")}) AS family, count(*) AS n, min(instrument_id) AS first_id FROM b GROUP BY 1""",
+SELECT lower({squeeze_sql("t")}) AS family, count(*) AS n, min(instrument_id) AS first_id FROM b GROUP BY 1""",
     "provision_references": f"""
 WITH e AS (SELECT source_id, min(excerpt) AS t FROM entity_sources GROUP BY 1),
 r AS (SELECT unnest(regexp_extract_all(t, '{legal.REFERENCE}', 1)) AS k, unnest(regexp_extract_all(t, '{legal.REFERENCE}', 2)) AS n, unnest(regexp_extract_all(t, '{legal.REFERENCE}', 3)) AS s FROM e)
 SELECT CASE lower(k) WHEN 'section' THEN 'มาตรา' WHEN 'article' THEN 'มาตรา' WHEN 'clause' THEN 'ข้อ' ELSE k END AS kind, {_DIGITS.format("n")} || CASE WHEN s <> '' THEN ' ' || s ELSE '' END AS number, count(*) AS n
 FROM r GROUP BY 1, 2""",
     "word_chunks": f"""
-WITH RECURSIVE flat AS (SELECT doc_id, {_squeeze("text")} AS t FROM documents WHERE length({_squeeze("text")}) > 0), {_CHUNKS.format(keys="doc_id")}
+WITH RECURSIVE flat AS (SELECT doc_id, {squeeze_sql("text")} AS t FROM documents WHERE length({squeeze_sql("text")}) > 0), {CHUNKS_SQL.format(keys="doc_id")}
 SELECT doc_id, CAST(chunk_index AS INT) AS chunk_index, CAST(s AS INT) AS char_start, CAST(e AS INT) AS char_end, CAST(len(regexp_extract_all(trim(substr(t, s + 1, e - s)), '[^\\s\\x0b]+')) AS INT) AS n_words, sha256(trim(substr(t, s + 1, e - s))) AS content_sha256
 FROM walk""",
-    "legal_sections": f"WITH {_SECTIONS} SELECT doc_id, section_no, section_kind, section_number, CASE WHEN section_no > 0 THEN concat_ws(' ', section_kind, section_number) END AS section_label, CAST(length(body) AS INT) AS n_chars FROM sections",
+    "legal_sections": f"WITH {SECTIONS_SQL} SELECT doc_id, section_no, section_kind, section_number, CASE WHEN section_no > 0 THEN concat_ws(' ', section_kind, section_number) END AS section_label, CAST(length(body) AS INT) AS n_chars FROM sections",
     "legal_section_chunks": f"""
-WITH RECURSIVE {_SECTIONS}, places AS (SELECT *, sum(length(body)) OVER (PARTITION BY doc_id ORDER BY section_no) - length(body) AS off FROM sections),
-flat AS (SELECT doc_id, section_no, section_kind, section_number, off, {_squeeze("body")} AS t FROM places WHERE length({_squeeze("body")}) > 0), {_CHUNKS.format(keys="doc_id, section_no, section_kind, section_number, off")}
+WITH RECURSIVE {SECTIONS_SQL}, places AS (SELECT *, sum(length(body)) OVER (PARTITION BY doc_id ORDER BY section_no) - length(body) AS off FROM sections),
+flat AS (SELECT doc_id, section_no, section_kind, section_number, off, {squeeze_sql("body")} AS t FROM places WHERE length({squeeze_sql("body")}) > 0), {CHUNKS_SQL.format(keys="doc_id, section_no, section_kind, section_number, off")}
 SELECT doc_id, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY section_no, chunk_index) - 1 AS INT) AS chunk_index, section_kind, section_number, CASE WHEN section_no > 0 THEN concat_ws(' ', section_kind, section_number) END AS section_label,
   CAST(off + s AS INT) AS char_start, CAST(off + e AS INT) AS char_end, sha256(trim(substr(t, s + 1, e - s))) AS content_sha256 FROM walk""",
     "slugs": r"""
@@ -249,7 +249,7 @@ WITH s AS (SELECT knowledge_base_id, trim(regexp_replace(lower(name), '[^a-z0-9]
 n AS (SELECT *, row_number() OVER (PARTITION BY slug ORDER BY knowledge_base_id) AS n FROM s)
 SELECT knowledge_base_id, CASE WHEN n > 1 THEN slug || '-' || n ELSE slug END AS code FROM n""",
     "written_dates": "SELECT instrument_id, effective_from AS from_thai, effective_from AS from_iso, CAST(NULL AS DATE) AS never FROM legal_instruments WHERE effective_from IS NOT NULL",
-    "html_round_trip": f"SELECT doc_id, coalesce({_squeeze('title')}, '-') AS heading, 'lang | kind' || chr(10) || coalesce(lang, '?') || ' | ' || document_type AS rows FROM documents",
+    "html_round_trip": f"SELECT doc_id, coalesce({squeeze_sql('title')}, '-') AS heading, 'lang | kind' || chr(10) || coalesce(lang, '?') || ' | ' || document_type AS rows FROM documents",
     "intake_states": "SELECT CASE WHEN text IS NULL OR length(trim(text)) = 0 THEN 'BLANK_TEXT' WHEN strlen(text) > 20971520 THEN 'TEXT_TOO_LARGE' ELSE 'ACCEPTED' END AS state, count(*) AS n FROM (SELECT request_id, min(text) AS text FROM ingest_requests GROUP BY 1) GROUP BY 1",
     "live_content": "SELECT doc_id, knowledge_base_id, sha256(text) AS sha256 FROM documents QUALIFY row_number() OVER (PARTITION BY knowledge_base_id, sha256(text) ORDER BY created_at, doc_id) = 1",
     "fallback_values": "SELECT entity_id, coalesce(nullif(trim(description), ''), nullif(trim(aliases[1]), ''), nullif(trim(name), '')) AS label FROM knowledge_entities",

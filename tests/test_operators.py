@@ -141,9 +141,9 @@ def test_intents(spark, question, intent):
 
 
 def test_policies_meet_and_clamp():
-    p = planner.meet([planner.Policy(graph=False, most_top=20, mode="recall"), planner.Policy(vector=False, default_top=5)])
-    assert (p.graph, p.vector, p.most_top, p.default_top, p.mode) == (False, False, 20, 5, "recall") and planner.meet([]) == planner.Policy()
-    assert planner.Policy.parse({"most_top": "many"}) == planner.Policy() and planner.Policy.parse({"most_top": 500}).most_top == 50
+    p = planner.meet([planner.Policy(enable_graph=False, maximum_top_k=20, retrieval_mode="recall"), planner.Policy(enable_vector=False, default_top_k=5)])
+    assert (p.enable_graph, p.enable_vector, p.maximum_top_k, p.default_top_k, p.retrieval_mode) == (False, False, 20, 5, "recall") and planner.meet([]) == planner.Policy()
+    assert planner.Policy.parse({"maximum_top_k": "many"}) == planner.Policy() and planner.Policy.parse({"maximum_top_k": 500, "enable_graph": False}) == planner.Policy() and planner.Policy.parse({"maximum_top_k": 20}).maximum_top_k == 20
     got = planner.clamp({"channels": ["graph", "external"], "max_sources": 99, "graph_depth": 9}, {"intent": "x"}, planner.Policy(), "ที่ดินชายน้ำ")
     assert got["channels"] == ["graph", "vector"] and got["max_sources"] == 12 and got["graph_depth"] == 3
 
