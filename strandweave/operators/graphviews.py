@@ -137,4 +137,4 @@ def ring(nodes: DataFrame, order: list[Column], width: float = 100.0) -> DataFra
     at = F.when(rank == 0, 0).otherwise(F.ceil((F.sqrt(1 + rank) - 1) / 2)).cast("int")
     out = nodes.withColumn("_rank", rank).withColumn("ring", at)
     angle = 2 * 3.141592653589793 * (F.col("_rank") - (2 * F.col("ring") - 1) * (2 * F.col("ring") - 1)) / F.greatest(8 * F.col("ring"), F.lit(1))
-    return out.withColumn("x", F.round(width * F.col("ring") * F.cos(angle), 3)).withColumn("y", F.round(width * F.col("ring") * F.sin(angle), 3)).drop("_rank")
+    return out.withColumn("x", F.round(width * F.col("ring") * F.cos(angle), 3) + 0.0).withColumn("y", F.round(width * F.col("ring") * F.sin(angle), 3) + 0.0).drop("_rank")

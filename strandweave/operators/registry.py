@@ -72,7 +72,15 @@ def as_of(left: DataFrame, right: DataFrame, by: str, left_day: str, right_day:
     return held.withColumn("_hit", hit).select(*[F.col(c) for c in left.columns], F.col("_hit._pick").alias(pick), F.col("_hit._day").alias("as_of_day"))
 
 
-def sole(df: DataFrame, n: Column | None = None) -> DataFrame:
+def as_of_or_any(left: DataFrame, right: DataFrame, by: str, left_day: str, right_day: str, pick: str) -> DataFrame:
+    """As ``as_of``; a left row whose key has right rows only after its day gets the earliest of them, so that none is left without where its key has any."""
+    dated = right.filter(F.col(right_day).isNotNull()).groupBy(by, F.col(right_day).alias("_d1")).agg(F.max(pick).alias("_p1"))
+    day0 = dated.groupBy(by).agg(F.min(F.struct("_d1", "_p1")).alias("_f")).select(by, "_f.*")
+    out = as_of(left, right, by, left_day, right_day, pick).join(day0, by, "left")
+    return out.select(*[F.col(c) for c in left.columns], F.coalesce(pick, "_p1").alias(pick), F.coalesce("as_of_day", "_d1").alias("as_of_day"))
+
+
+def sole(df: DataFrame) -> DataFrame:
     """The row of a table that has exactly one, else none."""
     two = df.limit(2)
     return two.withColumn("_n", F.count("*").over(Window.partitionBy(F.lit(1)))).filter("_n = 1").drop("_n")

@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.legal import provision_refs, valid_on
+from ..session import cut
 from .containment import containing
 
 # What a family's name may begin with, relations that lead one step further, and the shortest name that counts.
@@ -45,18 +46,20 @@ def resolve(questions: DataFrame, instruments: DataFrame, provisions: DataFrame,
     i = instruments
     q = questions.select("q", "question", compact(F.col("question")).alias("_c"), "as_of", F.coalesce("historical", F.lit(False)).alias("historical"), F.transform(provision_refs(F.col("question")), lambda r: compact(r["number"])).alias("refs"))
     names = family_names(i)
-    said = containing(q.select("q", "_c"), "_c", names, "form").unionByName(containing(names, "form", q.select("q", "_c"), "_c").select("q", "_c", "family", "form", "own"))
-    family = said.groupBy("q", "family").agg(F.max("own").alias("own"))
-    numbered = containing(q.select("q", "question"), "question", i.filter(F.length("official_number") > 0).select("instrument_id", "official_number"), "official_number").select("q", "instrument_id").distinct()
-    labelled = containing(q.select("q", F.lower("question").alias("_l")), "_l", i.filter(F.length("version") > 0).select(F.lower("version").alias("_v")).distinct(), "_v").select("q")
+    said = containing(q.select("q", "_c"), "_c", names, "form", widths=(16, LEAST)).unionByName(containing(names, "form", q.select("q", "_c"), "_c", widths=(16, 1)).select("q", "_c", "family", "form", "own"))
+    # Each step is named by several later ones, so it is written once.
+    family = cut(said.groupBy("q", "family").agg(F.max("own").alias("own")), "resolver-families")
+    numbered = containing(q.select("q", "question"), "question", i.filter(F.length("official_number") > 0).select("instrument_id", "official_number"), "official_number", widths=(5, 1)).select("q", "instrument_id").distinct()
+    numbered = cut(numbered, "resolver-numbers")
+    labelled = containing(q.select("q", F.lower("question").alias("_l")), "_l", i.filter(F.length("version") > 0).select(F.lower("version").alias("_v")).distinct(), "_v", widths=(1,)).select("q")
     version = numbered.select("q").unionByName(labelled).distinct().withColumn("versioned", F.lit(True))
     has_family = family.select("q").distinct().withColumn("named", F.lit(True))
     q = q.join(version, "q", "left").join(has_family, "q", "left")
     q = q.withColumn("family_only", F.coalesce("named", F.lit(False)) & F.coalesce(~F.col("versioned"), F.lit(True)))
 
     holds = valid_on(F.col("as_of"), F.col("status"), F.col("effective_from"), F.col("effective_to"))
-    asked = q.select("q", "as_of", "historical", "refs", "family_only", "named")
-    whole = i.filter("document_class = 'consolidated'").join(family, "family").join(asked, "q").filter(holds)
+    asked = cut(q.select("q", "as_of", "historical", "refs", "family_only", "named"), "resolver-questions")
+    whole = cut(i.filter("document_class = 'consolidated'").join(family, "family").join(asked, "q").filter(holds), "resolver-editions")
     latest = F.coalesce(F.col("version_role") == "latest_consolidated", F.lit(False))
 
     def chosen(rows: DataFrame, *group: str) -> DataFrame:
@@ -65,19 +68,19 @@ def resolve(questions: DataFrame, instruments: DataFrame, provisions: DataFrame,
         kept = rows.withColumn("_any", F.max(latest.cast("int")).over(w)).filter((F.col("_any") == 0) | latest)
         return kept.withColumn("n", F.count("*").over(w)).select("q", "instrument_id", "n")
 
-    first = chosen(whole.filter("family_only"), "q", "family")
+    first = cut(chosen(whole.filter("family_only"), "q", "family"), "resolver-first")
     ambiguous1 = first.filter("n > 1").select("q").distinct()
     preferred1 = first.filter("n = 1").select("q", "instrument_id")
     open_ = asked.join(preferred1.select("q"), "q", "left_anti").join(ambiguous1, "q", "left_anti")
     explicit = i.join(family.filter("own"), "family").select("q", "instrument_id")
     fall = explicit.join(open_.filter("family_only").select("q"), "q", "left_semi")
     plain = explicit.unionByName(numbered).join(asked.filter("NOT family_only").select("q"), "q", "left_semi")
-    matched = preferred1.unionByName(fall).unionByName(plain).distinct()
+    matched = cut(preferred1.unionByName(fall).unionByName(plain).distinct(), "resolver-matched")
 
     # Nothing named: the provisions that carry the number, or the one current consolidation.
     bare = asked.filter(F.size("refs") > 0).join(matched.select("q"), "q", "left_anti").join(ambiguous1, "q", "left_anti")
     by_number = bare.select("q", F.explode("refs").alias("_n")).join(provisions.select("doc_id", compact(F.col("number")).alias("_n")), "_n").join(i.select("doc_id", "instrument_id"), "doc_id").select("q", "instrument_id").distinct()
-    second = chosen(whole.join(bare.filter("named").select("q"), "q", "left_semi"), "q")
+    second = cut(chosen(whole.join(bare.filter("named").select("q"), "q", "left_semi"), "q"), "resolver-second")
     ambiguous2 = second.filter("n > 1").select("q").distinct()
     preferred2 = second.filter("n = 1").select("q", "instrument_id")
     by_number = by_number.join(second.select("q"), "q", "left_anti")
@@ -86,7 +89,7 @@ def resolve(questions: DataFrame, instruments: DataFrame, provisions: DataFrame,
     days = still.select("as_of").distinct()
     sole = i.filter(latest).join(days).filter(holds).groupBy("as_of").agg(F.count("*").alias("_n"), F.min("instrument_id").alias("instrument_id")).filter("_n = 1")
     preferred3 = still.join(sole, "as_of").select("q", "instrument_id")
-    matched = matched.unionByName(preferred3).distinct()
+    matched = cut(matched.unionByName(preferred3).distinct(), "resolver-all")
     preferred = preferred1.unionByName(preferred2).unionByName(preferred3).distinct()
 
     hops = relations.filter("review_status = 'verified'")
@@ -110,5 +113,5 @@ def resolve(questions: DataFrame, instruments: DataFrame, provisions: DataFrame,
         old = family.join(preferred.select("q"), "q", "left_semi").join(facts, "family").join(strict, "q").filter(~holds)
         roles = roles.unionByName(out).unionByName(role(old, "excluded"))
     unclear = ambiguous1.withColumn("reason", F.lit("FAMILY")).unionByName(ambiguous2.withColumn("reason", F.lit("PROVISION"))).groupBy("q").agg(F.min("reason").alias("reason"))
-    flags = q.select("q", F.size("refs").alias("n_refs")).join(unclear, "q", "left").select("q", F.col("reason").isNotNull().alias("ambiguous"), "reason", "n_refs")
+    flags = asked.select("q", F.size("refs").alias("n_refs")).join(unclear, "q", "left").select("q", F.col("reason").isNotNull().alias("ambiguous"), "reason", "n_refs")
     return roles.filter("doc_id IS NOT NULL").distinct(), flags

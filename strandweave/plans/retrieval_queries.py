@@ -13,6 +13,7 @@ from . import planner, text_queries
 
 QUESTION = "tenant applicant register"
 NEEDLE = "in accordance with"
+THAI_NEEDLE = "ทั้งนี้"
 
 
 def _raw(spark: SparkSession, sf: str) -> DataFrame:
@@ -106,7 +107,7 @@ def _sections(spark: SparkSession, sf: str) -> DataFrame:
 def section_expand(spark: SparkSession, sf: str) -> DataFrame:
     """Sections of the exact hits as whole texts: document, kind and number name a section."""
     c = _sections(spark, sf).filter("section_number IS NOT NULL").withColumnRenamed("chunk_index", "chunk_id").withColumn("chunk_index", F.col("chunk_id"))
-    hits = c.join(retrieval.exact_channel(c, "content", NEEDLE, 15), ["doc_id", "chunk_id"], "left_semi").select("doc_id", "section_kind", "section_number")
+    hits = c.join(retrieval.exact_channel(c, "content", THAI_NEEDLE, 15), ["doc_id", "chunk_id"], "left_semi").select("doc_id", "section_kind", "section_number")
     return retrieval.expand_sections(hits, c).select("doc_id", "section_kind", "section_number", "n_chunks", F.length("excerpt").alias("n_chars"), F.sha2("excerpt", 256).alias("digest"))
 
 
@@ -217,7 +218,7 @@ cur AS (SELECT DISTINCT doc_id FROM legal_instruments WHERE status = 'in_force'
 fill AS (SELECT * FROM pool WHERE doc_id IN (SELECT doc_id FROM cur) AND doc_id NOT IN (SELECT doc_id FROM pool WHERE position <= 10) QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY position) = 1 ORDER BY position LIMIT 10),
 both_ AS (SELECT *, false AS backfilled FROM pool WHERE position <= 10 - (SELECT count(*) FROM fill) UNION ALL SELECT *, true FROM fill)
 SELECT CAST(row_number() OVER (ORDER BY backfilled, position) AS INT) AS place, doc_id, chunk_id, score, backfilled FROM both_""",
-    "section_expand": f"""WITH RECURSIVE {_SECTION_CHUNKS}, c AS (SELECT * FROM cut WHERE section_number IS NOT NULL), h AS (SELECT DISTINCT doc_id, section_kind, section_number FROM (SELECT * FROM c WHERE contains(lower(content), '{NEEDLE}') ORDER BY doc_id, chunk_index LIMIT 15)),
+    "section_expand": f"""WITH RECURSIVE {_SECTION_CHUNKS}, c AS (SELECT * FROM cut WHERE section_number IS NOT NULL), h AS (SELECT DISTINCT doc_id, section_kind, section_number FROM (SELECT * FROM c WHERE contains(lower(content), '{THAI_NEEDLE}') ORDER BY doc_id, chunk_index LIMIT 15)),
 w AS (SELECT doc_id, section_kind, section_number, count(*) AS n, left(string_agg(content, chr(10) || chr(10) ORDER BY chunk_index), 12000) AS x FROM c JOIN h USING (doc_id, section_kind, section_number) GROUP BY 1, 2, 3)
 SELECT doc_id, section_kind, section_number, CAST(n AS INT) AS n_chunks, CAST(length(x) AS INT) AS n_chars, sha256(x) AS digest FROM w""",
     "citation_gate": """
