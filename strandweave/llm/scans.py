@@ -1,7 +1,7 @@
 """Problem 2: text from scanned pages, told apart and repaired into readable paragraphs.
 
 Method: noisy-channel correction. The channel is a table of characters that scanners
-confuse, each with a probability; the source is a character model (four signs of
+confuse, all with one probability; the source is a character model (four signs of
 context) counted over the whole corpus. Where every run of signs around a place is rare,
 the line is decoded by Viterbi over what may have stood there; the decoding that differs
 from the reading by more than the evidence margin is a misread character. Layout marks
@@ -172,7 +172,7 @@ class Source:
             out[i].append(x)
         return out
 
-    def decode(self, left: str, part: str, right: str) -> tuple[str, float]:
+    def decode(self, left: str, part: str, right: str, margin: float = MARGIN) -> tuple[str, float]:
         """The likeliest original of ``part`` between its neighbours, and its gain over the reading."""
         states: list[dict[str, tuple[float, str]]] = [{} for _ in range(len(part) + 1)]
         states[0][left[-4:]] = (0.0, "")
@@ -183,7 +183,7 @@ class Source:
         for c in right[:4]:
             plain += self.log(ctx + c)
             ctx = ctx[1:] + c
-        end, floor, log = len(part), plain + MARGIN, self.log
+        end, floor, log = len(part), plain + margin, self.log
         for i in range(end):
             best = states[i].items()
             if len(best) > 6:
@@ -237,6 +237,20 @@ class Source:
                 out.append((a, b, text))
         return out
 
+    def without_digits(self, line: str) -> tuple[str, bool]:
+        """The line with words that hold a digit decoded, and whether in any the letter it may stand for is likelier."""
+        out, at = [], 0
+        for m in _number_in_word.finditer(line):
+            word, low = m.group(), m.group().lower()
+            if len(low) != len(word):
+                continue
+            around = "    " + line.lower() + "    "
+            text, gain = self.decode(around[m.start() : m.start() + 4], low, around[m.end() + 4 : m.end() + 8], 0.0)
+            if text != low and gain > 0:
+                out += [line[at : m.start()], _in_case(word, low, text)]
+                at = m.end()
+        return "".join(out) + line[at:], at > 0
+
     def joined(self, before: str, after: str) -> bool:
         """Whether two ends belong to one run of signs: every run of five across the joint is common."""
         s = before[-4:] + after[:4]
@@ -372,7 +386,9 @@ def marks(texts: list[str | None], known: list[set[str]], source: Source) -> lis
                         at = b
                 line = ("".join(parts) + s[at:]).strip(" ")
             if places[n] and _number_in_word.search(line):
-                found.add("misread")
+                line, wrong = source.without_digits(line)
+                if wrong:
+                    found.add("misread")
             fixed.append(line)
             n += 1
         out.append((found, None if text is None else "\n".join(fixed)))
