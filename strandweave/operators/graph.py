@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..session import cut
+from ..session import cut, forget
 
 
 def both_ways(edges: DataFrame) -> DataFrame:
@@ -44,15 +44,23 @@ def impact(edges: DataFrame, start: str, depth: int, kind: str = "string") -> Da
     return seen.filter("distance > 0").select("node", "distance", F.array_join("path", " > ").alias("path"), (F.col("distance") == 1).alias("direct"))
 
 
-def components(edges: DataFrame) -> DataFrame:
-    """(node, component): the least node of each connected component.
+def _mark(links: DataFrame) -> tuple:
+    """How many links there are and a digest of them all, whatever their order: one pass over a narrow table."""
+    return tuple(links.agg(F.count("*"), F.bit_xor(F.xxhash64("hi", "lo"))).first())
 
-    Large-star and small-star rounds: the number of rounds grows with the logarithm of
-    the longest chain, and no round gathers a component in one task.
+
+def components(edges: DataFrame, src: str = "src", dst: str = "dst") -> DataFrame:
+    """(node, component): the least node of each connected component, for every node of an edge to another.
+
+    Large-star and small-star rounds: every node hangs under the least node it sees, so the
+    number of rounds grows with the logarithm of the longest chain, and no round gathers a
+    component in one task. A round is written once and the one before it deleted; the
+    rounds end when the digest of the links stays as it is.
     """
-    links = edges.select(F.greatest("src", "dst").alias("hi"), F.least("src", "dst").alias("lo")).filter("hi <> lo").distinct()
-    links = cut(links, "components")
-    while True:
+    a, b = F.col(src), F.col(dst)
+    links = cut(edges.select(F.greatest(a, b).alias("hi"), F.least(a, b).alias("lo")).filter("hi <> lo").distinct(), "components")
+    seen = _mark(links)
+    while seen[0]:
         both = links.unionByName(links.select(F.col("lo").alias("hi"), F.col("hi").alias("lo")))
         least = both.groupBy("hi").agg(F.least(F.min("lo"), F.first("hi")).alias("root"))
         large = both.join(least, "hi").filter("lo > hi").select(F.col("lo").alias("hi"), F.col("root").alias("lo")).filter("hi <> lo").distinct()
@@ -60,10 +68,12 @@ def components(edges: DataFrame) -> DataFrame:
         low = down.groupBy("hi").agg(F.min("lo").alias("root"))
         under = down.join(low, "hi").select(F.col("lo").alias("hi"), F.col("root").alias("lo")).unionByName(low.select("hi", F.col("root").alias("lo")))
         after = cut(under.filter("hi <> lo").distinct(), "components")
-        settled = after.count() == links.count() and after.join(links, ["hi", "lo"], "left_anti").isEmpty()
+        now = _mark(after)
+        forget(links)
         links = after
-        if settled:
+        if now == seen:
             break
+        seen = now
     own = links.select(F.col("lo").alias("node"), F.col("lo").alias("component"))
     return links.select(F.col("hi").alias("node"), F.col("lo").alias("component")).unionByName(own).groupBy("node").agg(F.min("component").alias("component"))
 

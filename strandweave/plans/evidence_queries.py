@@ -39,7 +39,8 @@ def log_window(spark: SparkSession, sf: str) -> DataFrame:
     """Log entries of a kind and a number in their properties, within an inclusive window and before an exclusive cursor."""
     k = F.get_json_object("props", "$.k").cast("int")
     e = table(spark, sf, "events").filter((F.col("ts") >= F.lit("2024-01-05").cast("timestamp_ntz")) & (F.col("ts") <= F.lit("2024-01-20").cast("timestamp_ntz")) & (F.col("event_type") == "click"))
-    return e.filter((k >= 10) & (k < 60)).select("event_id", "user_id", k.alias("k"))
+    before = F.col("ts") < F.lit("2024-01-19 12:00:00").cast("timestamp_ntz")
+    return e.filter(before & (k >= 10) & (k < 60)).select("event_id", "user_id", k.alias("k"))
 
 
 def trace_search(spark: SparkSession, sf: str) -> DataFrame:
@@ -174,7 +175,7 @@ SQL = {
 WITH t AS (SELECT instrument_id, official_number AS source_reference, version_date, lower(coalesce(display_title, '') || CASE document_class WHEN 'amendment' THEN ' ฉบับแก้ไข' WHEN 'consolidated' THEN ' ฉบับรวมล่าสุด' WHEN 'main' THEN ' ฉบับหลัก' ELSE '' END) AS t FROM legal_instruments)
 SELECT instrument_id, source_reference, version_date, CASE WHEN contains(t, 'ฉบับหลัก') THEN 'main' WHEN contains(t, 'ฉบับปรับปรุงล่าสุด') OR contains(t, 'ฉบับรวมล่าสุด') THEN 'latest_consolidated' WHEN contains(t, 'รวม') OR contains(t, 'ฉบับปรับปรุง') THEN 'consolidated'
   WHEN contains(t, 'ฉบับแก้ไข') OR contains(t, 'แก้ไขเพิ่มเติม') THEN 'amendment' ELSE 'unknown' END AS version_role FROM t""",
-    "log_window": "SELECT event_id, user_id, CAST(props->>'$.k' AS INT) AS k FROM events WHERE ts >= TIMESTAMP '2024-01-05' AND ts <= TIMESTAMP '2024-01-20' AND event_type = 'click' AND CAST(props->>'$.k' AS INT) >= 10 AND CAST(props->>'$.k' AS INT) < 60",
+    "log_window": "SELECT event_id, user_id, CAST(props->>'$.k' AS INT) AS k FROM events WHERE ts >= TIMESTAMP '2024-01-05' AND ts <= TIMESTAMP '2024-01-20' AND ts < TIMESTAMP '2024-01-19 12:00:00' AND event_type = 'click' AND CAST(props->>'$.k' AS INT) >= 10 AND CAST(props->>'$.k' AS INT) < 60",
     "trace_search": "SELECT entity_id, name FROM knowledge_entities WHERE contains(lower(name), 'harbour') OR contains(lower(description), 'harbour') OR contains(lower(entity_type), 'harbour') OR contains(lower(origin), 'harbour')",
     "template_usage": "SELECT coalesce(t, 'system:' || d) AS template, count(*) AS n FROM (SELECT request_id, min(template_id) AS t, min(document_type) AS d FROM ingest_requests GROUP BY 1) GROUP BY 1",
     "current_inventory": "SELECT document_type, count(*) AS n FROM documents LEFT JOIN (SELECT doc_id, min(status) AS st FROM legal_instruments WHERE doc_id IS NOT NULL GROUP BY 1) USING (doc_id) WHERE st IS NULL OR st IN ('in_force', 'amended', 'unknown') GROUP BY 1",

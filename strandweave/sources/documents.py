@@ -53,6 +53,13 @@ def accepted(df: DataFrame, text: str) -> DataFrame:
     return df.withColumn("rejection", F.when(t.isNull() | (F.length(F.trim(t)) == 0), "BLANK_TEXT").when(F.octet_length(t) > MOST_BYTES, "TEXT_TOO_LARGE"))
 
 
+def in_batches(df: DataFrame, batch: str) -> DataFrame:
+    """(batch, n, n_accepted, state) of items with their ``rejection``: a batch of more than ``MOST_ITEMS`` is rejected whole; else it is queued, partial or rejected by how its items fared."""
+    n = df.groupBy(batch).agg(F.count("*").alias("n"), F.count_if(F.col("rejection").isNull()).alias("n_accepted"))
+    state = F.when(F.col("n") > MOST_ITEMS, "TOO_MANY_ITEMS").when(F.col("n_accepted") == F.col("n"), "queued").when(F.col("n_accepted") > 0, "partial").otherwise("rejected")
+    return n.withColumn("state", state)
+
+
 def live_once(df: DataFrame, *keys: str, text: str, order: list[Column]) -> DataFrame:
     """One row for each content within keys, the first in order; adds ``sha256``."""
     from ..operators.metadata import latest_of

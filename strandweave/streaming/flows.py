@@ -42,11 +42,20 @@ def by_session(df: DataFrame, ts: str, gap: str, key: str) -> DataFrame:
 
 
 def run_once(df: DataFrame, name: str, mode: str = "append") -> DataFrame:
-    """Runs a stream over all that is there and gives the result as a table."""
+    """Runs a stream over all that is there and gives the result as a table of files in the shared folder; the driver holds none of it.
+
+    A batch writes under its number, so one that is run again replaces itself; in complete
+    mode each batch is the whole result and only the newest counts.
+    """
     spark = df.sparkSession
-    query = df.writeStream.format("memory").queryName(name).outputMode(mode).option("checkpointLocation", f"{shared_folder(spark)}/stream-{name}").trigger(availableNow=True).start()
-    query.awaitTermination()
-    return spark.table(name)
+    path = f"{shared_folder(spark)}/stream-{name}"
+
+    def keep(batch: DataFrame, number: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{path}/rows" if mode == "complete" else f"{path}/rows/batch={number}")
+
+    spark.createDataFrame([], df.schema).write.mode("overwrite").parquet(f"{path}/rows" if mode == "complete" else f"{path}/rows/batch=-1")
+    df.writeStream.foreachBatch(keep).outputMode(mode).option("checkpointLocation", f"{path}/checkpoint").trigger(availableNow=True).start().awaitTermination()
+    return spark.read.schema(df.schema).parquet(f"{path}/rows")
 
 
 def deliver(df: DataFrame, path: str, key: str, order: str) -> StreamingQuery:

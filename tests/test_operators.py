@@ -134,8 +134,9 @@ def test_span_offsets(spark):
     ("How does APP-01 connect to DB-01?", "relationship_local"), ("section 15 of the act", "legal_provision"), ("How to apply for VPN", "how_to"), ("Tell me about APP-01", "entity_lookup"), ("Who is responsible?", "semantic_hybrid"),
 ])
 def test_intents(spark, question, intent):
-    row = planner.plan(spark.createDataFrame([(question,)], "q string"), "q", planner.Policy()).first()
+    row = planner.plan(spark.createDataFrame([(question,)], "q string"), "q", planner.Policy(enable_lightrag=False)).first()
     assert row.intent == intent and row.channels == [c for c in planner.CHANNELS[intent][0] if c != "external"]
+    assert row.ambiguous == (intent == "semantic_hybrid") and planner.Policy().allows("external")
     if intent == "news_by_date":
         assert (str(row.published_from), str(row.published_to)) == ("2026-06-01", "2026-07-01")
 
@@ -144,7 +145,7 @@ def test_policies_meet_and_clamp():
     p = planner.meet([planner.Policy(enable_graph=False, maximum_top_k=20, retrieval_mode="recall"), planner.Policy(enable_vector=False, default_top_k=5)])
     assert (p.enable_graph, p.enable_vector, p.maximum_top_k, p.default_top_k, p.retrieval_mode) == (False, False, 20, 5, "recall") and planner.meet([]) == planner.Policy()
     assert planner.Policy.parse({"maximum_top_k": "many"}) == planner.Policy() and planner.Policy.parse({"maximum_top_k": 500, "enable_graph": False}) == planner.Policy() and planner.Policy.parse({"maximum_top_k": 20}).maximum_top_k == 20
-    got = planner.clamp({"channels": ["graph", "external"], "max_sources": 99, "graph_depth": 9}, {"intent": "x"}, planner.Policy(), "ที่ดินชายน้ำ")
+    got = planner.clamp({"channels": ["graph", "external"], "max_sources": 99, "graph_depth": 9}, {"intent": "x"}, planner.Policy(enable_lightrag=False), "ที่ดินชายน้ำ")
     assert got["channels"] == ["graph", "vector"] and got["max_sources"] == 12 and got["graph_depth"] == 3
 
 
