@@ -143,7 +143,7 @@ def composed(evidence: DataFrame) -> DataFrame:
 
 def merged_fields(defaults: Column, own: Column) -> Column:
     """Fields of a profile with a template's own put over them by key: the profile's order first, new keys behind; of fields with one key the last holds. Arrays of structs with ``key``."""
-    last = lambda fields: F.filter(fields, lambda f, i: (f["key"].isNotNull()) & ~F.exists(F.slice(fields, i + 2, F.greatest(F.size(fields) - i - 1, F.lit(0))), lambda g: g["key"] == f["key"]))
+    last = lambda fields: F.filter(fields, lambda f, i: (f["key"].isNotNull()) & ~F.exists(F.slice(fields, i + 2, F.greatest(F.size(fields) - i - 1, F.lit(0))), lambda g: g["key"].eqNullSafe(f["key"])))
     o = last(F.coalesce(own, F.array().cast("array<struct<key:string,label:string>>")))
     d = last(F.coalesce(defaults, F.array().cast("array<struct<key:string,label:string>>")))
     over = F.transform(d, lambda f: F.coalesce(F.element_at(F.concat(F.array(F.lit(None).cast("struct<key:string,label:string>")), F.filter(o, lambda g: g["key"] == f["key"])), -1), f))
