@@ -35,7 +35,7 @@ LAST_POINT = 0x20000
 SCRIPTS = ("CYRILLIC", "GREEK", "ARMENIAN")
 SAME_LOOK = ("<wide>", "<narrow>", "<compat>", "<font>", "<noBreak>")
 _invisible = re.compile(INVISIBLE)
-_letters = re.compile(r"[^\W\d_](?:[^\W\d_]|[̀-ͯ])*")
+_letters = re.compile(r"[^\W\d_ก-๛](?:[^\W\d_ก-๛]|[̀-ͯ])*")
 _nikhahit = re.compile("([่-๋]?)ํ([่-๋]?)า")
 _tone_first = re.compile("([่-์])([ัิ-ฺ็])")
 #: A text in which this finds nothing is in the ordinary form whatever else it holds.

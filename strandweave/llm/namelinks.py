@@ -28,8 +28,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..operators.graph import components
 from ..session import cut
-from .components import connected_components
 from .lookalikes import Looks
 
 # Short forms of given names.
@@ -416,7 +416,7 @@ def name_clusters(df: DataFrame, name: str, person: Column, *group: str) -> Data
 
     pairs = cut(met.mapInPandas(judge, "a long, b long, verdict int"), "name-pairs")
     nodes = parsed.select("node", _is_weak(F.col("kind"), F.col("sig")).alias("weak")).distinct()
-    strong = connected_components(pairs.filter("verdict = 2").select("a", "b"))
+    strong = components(pairs.filter("verdict = 2"), "a", "b")
     own = cut(nodes.join(strong, "node", "left").select("node", "weak", F.coalesce("component", "node").alias("component")), "name-nodes")
     # A cluster of nothing but abbreviations joins the one cluster of full names it fits.
     full = own.groupBy("component").agg(F.min(F.col("weak").cast("int")).alias("weak"))

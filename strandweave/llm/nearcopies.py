@@ -32,8 +32,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..operators.graph import components
 from ..session import cut
-from .components import connected_components
 
 RUN = 4
 #: Segments on the ring, symbols of a segment, bits kept of a symbol in a chain.
@@ -241,7 +241,7 @@ def near_copy_classes(df: DataFrame, key: str, text: str, table: str, least: flo
     """(table, key, class_id, n_links): every record with a text; records joined by links share a class. Copies link to their text, not to each other."""
     keyed = text_keys(df, text, table)
     links = cut(similar_texts(keyed, least).select("a", "b"), "near-copy-links")
-    parts = connected_components(links)
+    parts = components(links, "a", "b")
     degree = links.select(F.explode(F.array("a", "b")).alias("node")).groupBy("node").agg(F.count("*").alias("n_links"))
     of = parts.join(degree, "node")
     rows = keyed.select(table, key, "text_key").distinct()

@@ -39,3 +39,15 @@ def test_pairs_and_empty_table(spark):
     df = spark.createDataFrame([("1", "Ken Zibedudu", True), ("2", "Kenneth Zibedudu", True), ("2", "Kenneth Zibedudu", True), ("3", None, True)], "id string, name string, person boolean").withColumn("tab", F.lit("x"))
     assert [(r.key_a, r.key_b) for r in N.linked_records(df, "id", "name", F.col("person"), "tab").collect()] == [("1", "2")]
     assert N.linked_records(df.limit(0), "id", "name", F.col("person"), "tab").count() == 0
+
+
+def test_slips_and_short_names_that_once_did_not_meet(spark):
+    c = link(spark, ["Dominic Nalekesi", "Dominic Nalekei", "Barbara Niramobe", "Ms Brbara Niramobe", "Vincent Vapezami", "Vapezami, Vin", "Ingrid Tigutana", "Tiigutana, Inge"], True)
+    assert c[0] == c[1] and c[2] == c[3] and c[4] == c[5] and c[6] == c[7] and len(set(c.values())) == 4
+    b = link(spark, ["Falagifo Harbour Cooperative Limited", "Falagifo Hbr. Coop. Ltd", "สมาคมปุ๋ยหมัก ลักษ์กุลโชคดารา", "สมาคมปุ๋ยหมัก ลักษกุลโชคดารา"], False)
+    assert b[0] == b[1] and b[2] == b[3] != b[0]
+
+
+def test_names_that_are_alike_stay_apart(spark):
+    c = link(spark, ["Patricia Ganinali", "Patrick Ganinali", "Pat Ganinali", "Samuel Mobugoro", "Samantha Mobugoro", "S. Mobugoro"], True)
+    assert len({c[0], c[1], c[2]}) == 3 and len({c[3], c[4], c[5]}) == 3

@@ -1,8 +1,8 @@
 import random
 from collections import Counter
 
-from strandweave.llm import components as C
 from strandweave.llm import nearcopies as N
+from strandweave.operators import graph
 
 WORDS = [a + b + c for a in ("ka", "mo", "ti", "se", "ru", "กำ", "ที่") for b in ("lo", "ne", "pa", "zu") for c in ("r", "n", "st", "")]
 
@@ -55,9 +55,9 @@ def test_classes_name_every_record_once(spark):
 
 def test_components_of_long_chains_and_stars(spark):
     edges = [(i, i + 1) for i in range(60)] + [(1000, 1000 + i) for i in range(1, 40)] + [(5, 5)]
-    got = {r.node: r.component for r in C.connected_components(spark.createDataFrame(edges, "a long, b long")).collect()}
+    got = {r.node: r.component for r in graph.components(spark.createDataFrame(edges, "a long, b long"), "a", "b").collect()}
     assert all(got[i] == 0 for i in range(61)) and all(got[1000 + i] == 1000 for i in range(40))
-    assert C.connected_components(spark.createDataFrame([], "a long, b long")).count() == 0
+    assert graph.components(spark.createDataFrame([], "a long, b long"), "a", "b").count() == 0
 
 
 def test_pairs_near_the_limit_and_with_repeated_runs(spark):

@@ -28,3 +28,18 @@ def test_every_text_in_one_container_and_none_too_full(spark):
 
 def test_empty_table(spark):
     assert P.pack(spark.createDataFrame([], "id int, t string"), "id", "t", 100).count() == 0
+
+
+def test_leftovers_leave_little_room(spark):
+    """Against the least number of containers there can be: the tokens over the capacity."""
+    rng = __import__("random").Random(7)
+    rows = [(i, "word " * rng.randint(1, 90)) for i in range(3000)]
+    got = P.pack(spark.createDataFrame(rows, "id int, t string").repartition(6), "id", "t", 100).toPandas()
+    least = -(-int(got.tokens.sum()) // 100)
+    assert got.container_id.nunique() <= 1.03 * least
+
+
+def test_long_texts_are_cut_in_linear_work():
+    enc, text = P.encoder(P.default_vocabulary()), "ที่ดิน river 12 " * 60_000
+    spans = P.token_pieces(text, 2048, enc)
+    assert spans[0][0] == 0 and spans[-1][1] == len(text) and all(a[1] == b[0] for a, b in zip(spans, spans[1:]))
