@@ -6,6 +6,7 @@ has a total tiebreak, so a channel is the same on every run.
 
 from __future__ import annotations
 
+import re
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
@@ -13,6 +14,7 @@ from pyspark.sql import functions as F
 
 from ..functions.legal import status_factor
 from ..functions.text import tokens
+from .chunking import let
 
 RRF = 60
 #: Words of a query that are looked for one by one where no passage holds all of them.
@@ -48,14 +50,15 @@ def keyword_channel(chunks: DataFrame, content: str, query: str, k: int, metadat
     Ordered by distinct words matched, then by how often they stand there, then by key. A
     query without a usable word finds nothing. Only keys and counts leave the scan.
     """
-    words = F.array_distinct(tokens(F.lit(query)))
-    first = F.slice(words, 1, FALLBACK_WORDS)
-    said = F.lit(False) if metadata is None else F.coalesce(F.contains(F.lower(metadata), F.lit(query.lower())), F.lit(False)) & (F.size(words) > 0)
-    seen = chunks.select("doc_id", "chunk_id", tokens(F.col(content)).alias("_t"), said.alias("_said"))
-    hits = F.filter("_t", lambda t: F.array_contains(words, t))
-    some = F.exists("_t", lambda t: F.array_contains(first, t))
-    seen = seen.select("doc_id", "chunk_id", F.size(F.array_distinct(hits)).alias("_n"), F.size(hits).alias("_tf"), F.size(words).alias("_all"), "_said", some.alias("_some"))
-    seen = seen.withColumn("_whole", (F.col("_n") == F.col("_all")) | F.col("_said")).filter((F.col("_n") > 0) | F.col("_said")).filter("_whole OR _some")
+    wanted = list(dict.fromkeys(w for w in re.findall(r"[\w-]+", query.lower()) if len(w) > 1))
+    words, first = (F.array(*[F.lit(w) for w in ws]).cast("array<string>") for ws in (wanted, wanted[:FALLBACK_WORDS]))
+    said = F.lit(False) if metadata is None or not wanted else F.coalesce(F.contains(F.lower(metadata), F.lit(query.lower())), F.lit(False))
+    count = lambda h: F.struct(F.size(F.array_distinct(h)).alias("n"), F.size(h).alias("tf"), F.exists(h, lambda t: F.array_contains(first, t)).alias("some"))
+    hits = let(F.filter(tokens(F.col(content)), lambda t: F.array_contains(words, t)), count)
+    # Behind an explode a filter cannot be pushed to where it would take every text apart once more.
+    seen = chunks.select("doc_id", "chunk_id", said.alias("_said"), F.explode_outer(F.array(hits)).alias("_h")).filter("_h.n > 0 OR _said")
+    seen = seen.select("doc_id", "chunk_id", F.coalesce("_h.n", F.lit(0)).alias("_n"), F.coalesce("_h.tf", F.lit(0)).alias("_tf"), "_said", F.coalesce("_h.some", F.lit(False)).alias("_some"))
+    seen = seen.withColumn("_whole", (F.col("_n") == len(wanted)) | F.col("_said")).filter("_whole OR _some")
     seen = seen.dropDuplicates(["doc_id", "chunk_id"])
     best = top(seen, F.struct(F.col("_whole").cast("int"), "_n", "_tf"), k, "doc_id", "chunk_id")
     any_ = F.max(F.col("_whole").cast("int")).over(Window.orderBy("rank").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))
