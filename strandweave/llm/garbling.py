@@ -40,7 +40,7 @@ SINGLE = (
 CHAINS = tuple([("utf-8", b, 1) for b in READ_AS] + [(a, b, 1) for a, b in SINGLE] + [("utf-8", b, 2) for b in READ_AS] + [("utf-8", "cp1252", 3)])
 NAMES = tuple(f"{a} read as {b}" + (f" {n} times" if n > 1 else "") for a, b, n in CHAINS)
 #: The rounds end when no chain's expected share of all records moves by more than this, at the latest after so many.
-SETTLED, ROUNDS = 1e-5, 12
+SETTLED, ROUNDS = 1e-4, 12
 #: Records that the corpus-wide prior counts for beside a source's own.
 SMOOTHING = 20.0
 START_CLEAN = 0.9
