@@ -131,6 +131,11 @@ def provision_refs(text: Column) -> Column:
     )
 
 
+def first_provision(text: Column) -> Column:
+    """The first (kind, number, paragraph, raw) a text refers to, or null: the text is read to there only."""
+    return F.get(provision_refs(F.regexp_extract(text, REFERENCE, 0)), F.lit(0))
+
+
 def provision_number(value: Column) -> Column:
     """A provision number as it is compared: no prefix, no blanks, ordinal words as ``/n``."""
     out = F.regexp_replace(F.trim(value), r"(?i)^(มาตรา|ข้อ|section|article|clause)" + SPACE + "*", "")

@@ -33,7 +33,7 @@ def _targets(spark: SparkSession, sf: str) -> DataFrame:
 
 def _relations(spark: SparkSession, sf: str) -> DataFrame:
     """Relations of instruments: amendments to their texts, over the first provision their own document refers to."""
-    d = table(spark, sf, "documents").select("doc_id", F.get(legal.provision_refs(F.col("text")), F.lit(0))["number"].alias("target_provision"))
+    d = table(spark, sf, "documents").select("doc_id", legal.first_provision(F.col("text"))["number"].alias("target_provision"))
     t = _targets(spark, sf).filter("dst IS NOT NULL").join(d, "doc_id", "left")
     kind = F.when(F.col("src_status") == "repealed", "REPEALS").when(F.col("src_status") == "superseded", "SUPERSEDES").otherwise("AMENDS")
     return t.select("knowledge_base_id", "src", "dst", kind.alias("relation"), "target_provision", F.when(F.col("src_status") == "unknown", "suggested").otherwise("verified").alias("review_status"), "version_date")
@@ -109,7 +109,7 @@ def body_occurrences(spark: SparkSession, sf: str) -> DataFrame:
 def version_conflicts(spark: SparkSession, sf: str) -> DataFrame:
     """Instruments of one family as evidence for one provision: what stays, and the warnings."""
     i = _instruments(spark, sf).filter("family IS NOT NULL AND doc_id IS NOT NULL")
-    d = table(spark, sf, "documents").select("doc_id", F.get(legal.provision_refs(F.col("text")), F.lit(0)).alias("r"))
+    d = table(spark, sf, "documents").select("doc_id", legal.first_provision(F.col("text")).alias("r"))
     e = i.join(d, "doc_id").select(F.lit(1).alias("q"), F.col("instrument_id").alias("position"), "doc_id", "instrument_id", "family", F.col("r.kind").alias("section_kind"), F.col("r.number").alias("section_number"), "status", (F.col("status") == "in_force").alias("current"))
     stays, warnings = provisions.version_conflicts(e, _relations(spark, sf), ["q"])
     return stays.select("position", F.lit("KEPT").alias("code")).unionByName(warnings.select("position", "code"))
