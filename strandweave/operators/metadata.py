@@ -74,13 +74,16 @@ def checked(value: Column, kind: Column) -> Column:
 def resolve(asked: DataFrame, name: str, entities: DataFrame, key: str, canon: str, shown: str, aliases: str) -> DataFrame:
     """(name, step, key): what each name asked for resolves to: 1 the same canonical name, 2 a shown name that contains it, 3 an alias; the least key within a step.
 
-    Names no step knows have no row. Containment is met by windows, never all with all.
+    Names no step knows have no row. Containment is met by windows, never all with all, and
+    only for names the first step does not know. Sides are merged: neither has a bound that
+    would let it be broadcast.
     """
     from .containment import containing
 
-    same = asked.join(entities, F.col(name) == F.col(canon)).select(name, F.lit(1).alias("step"), key)
-    held = containing(entities.select(key, shown), shown, asked, name, widths=(6, 3, 2, 1)).select(name, F.lit(2).alias("step"), key)
+    same = asked.hint("merge").join(entities, F.col(name) == F.col(canon)).select(name, F.lit(1).alias("step"), key)
+    rest = asked.hint("merge").join(entities.select(F.col(canon).alias("_known")), F.col(name) == F.col("_known"), "left_anti")
+    held = containing(entities.select(key, shown), shown, rest, name, widths=(6, 3, 2, 1)).select(name, F.lit(2).alias("step"), key)
     other = entities.select(key, F.explode(aliases).alias("_a")).select(key, canonical_name(F.col("_a")).alias("_a"))
-    alias = asked.join(other, F.col(name) == F.col("_a")).select(name, F.lit(3).alias("step"), key)
+    alias = rest.hint("merge").join(other, F.col(name) == F.col("_a")).select(name, F.lit(3).alias("step"), key)
     best = same.unionByName(held).unionByName(alias).groupBy(name).agg(F.min(F.struct("step", key)).alias("_m"))
     return best.select(name, "_m.step", f"_m.{key}")
