@@ -6,9 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.legal import provision_number
-
-#: Signs at the end of a title by which it is looked for in others.
-TAIL = 16
+from .containment import containing
 
 
 def provision_chunks(provisions: DataFrame, chunks: DataFrame, doc: str, number: str, chunk_number: str, chunk_id: str) -> DataFrame:
@@ -19,32 +17,18 @@ def provision_chunks(provisions: DataFrame, chunks: DataFrame, doc: str, number:
     return p.join(ids, (F.col(doc) == F.col("_d")) & (F.col("_n") == F.col("_cn")), "left").drop("_n", "_d", "_cn")
 
 
-def _windows(of: str, text: str) -> Column:
-    """Digests of all runs of ``TAIL`` signs of a text."""
-    return F.transform(F.sequence(F.lit(1), F.length(text) - TAIL + 1), lambda i: F.xxhash64(of, F.col(text).substr(i, F.lit(TAIL))))
-
-
 def title_match(references: DataFrame, instruments: DataFrame, by: str, wanted: str, number: str, title: str, own_number: str, day: str, pick: str, before: Column | None = None) -> DataFrame:
     """For each reference the instrument of its corpus it most likely means: 100 points for the number, 50 for a title that contains the other, 20 off if it is younger.
 
-    A title lies within another only if its last ``TAIL`` signs are among the other's
-    windows of that length, so tails meet windows by digest; titles shorter than that are
-    few and are compared with their corpus; references whose number agrees are met by number.
+    Titles within titles meet by windows; references whose number agrees are met by number.
     """
     low = lambda c: F.lower(F.trim(F.col(c)))
     left = references.withColumn("_row", F.monotonically_increasing_id())
     asked = left.select("_row", F.col(by).alias("_ab"), low(wanted).alias("_a"), F.col(number).alias("_an"), (F.lit(None) if before is None else before).alias("_before"))
     right = instruments.select(F.col(by).alias("_by"), low(title).alias("_t"), F.col(own_number).alias("_num"), F.col(day).alias("_day"), F.col(pick).alias("_pick"))
     near = F.col("_ab") == F.col("_by")
-    pairs = asked.join(right, near & (F.col("_an") == F.col("_num")))
-    for holds, part, a, b in ((asked, right, "_a", "_t"), (right, asked, "_t", "_a")):
-        of, own = ("_ab", "_by") if a == "_a" else ("_by", "_ab")
-        inside = F.contains(F.col(a), F.col(b))
-        windows = F.when(F.length(a) >= TAIL, F.array_distinct(_windows(of, a)))
-        tails = part.filter(F.length(b) >= TAIL).withColumn("_tail", F.xxhash64(own, F.substring(b, -TAIL, TAIL)))
-        met = holds.withColumn("_window", F.explode(windows)).join(tails, near & (F.col("_window") == F.col("_tail")) & inside)
-        short = holds.join(part.filter(F.length(b).between(1, TAIL - 1)), near & inside)
-        pairs = pairs.unionByName(met.select(*pairs.columns)).unionByName(short.select(*pairs.columns))
+    pairs = asked.hint("merge").join(right, near & (F.col("_an") == F.col("_num")))
+    pairs = pairs.unionByName(containing(asked, "_a", right, "_t", within=(("_ab", "_by"),))).unionByName(containing(right, "_t", asked, "_a", within=(("_by", "_ab"),)))
     contains = F.coalesce((F.length("_a") > 0) & (F.length("_t") > 0) & (F.contains(F.col("_a"), F.col("_t")) | F.contains(F.col("_t"), F.col("_a"))), F.lit(False))
     younger = F.coalesce(F.col("_before") < F.col("_day"), F.lit(False))
     score = F.when(F.col("_an") == F.col("_num"), 100).otherwise(0) + F.when(contains, 50).otherwise(0) - F.when(younger, 20).otherwise(0)

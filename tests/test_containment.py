@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import __spark_entry__ as driver
-from strandweave.operators import metadata
+from strandweave.operators import evidence, metadata
 from strandweave.operators.containment import containing
 
 
@@ -29,7 +29,7 @@ def test_within_repeats_and_collisions_of_width(spark):
     assert containing(h, "h", p.limit(0), "p").count() == 0 and containing(h.limit(0), "h", p, "p").count() == 0
 
 
-@pytest.mark.parametrize("name", ["entity_cascade"])
+@pytest.mark.parametrize("name", ["entity_cascade", "title_matches"])
 def test_queries_broadcast_nothing(spark, sf, name):
     assert broadcasts(driver.queries()[name](spark, sf)) == 0
 
@@ -39,3 +39,10 @@ def test_cascade_takes_the_first_step_that_knows_a_name(spark):
     asked = spark.createDataFrame([(x,) for x in ("ann", "ann lee", "boss", "aide", "lee", "nobody")], "asked string")
     got = {r.asked: (r.step, r.id) for r in metadata.resolve(asked, "asked", e, "id", "canon", "shown", "aliases").collect()}
     assert got == {"ann": (1, "e2"), "ann lee": (1, "e1"), "boss": (2, "e3"), "aide": (3, "e4"), "lee": (2, "e1")}
+
+
+def test_titles_shorter_than_a_window(spark):
+    refs = spark.createDataFrame([("k", "Act", None, None), ("k", "The Pier Act", None, None), ("z", "Act", None, None)], "kb string, t string, n string, d date")
+    inst = spark.createDataFrame([("k", "Pier", None, None, "1"), ("k", "Lighthouse Act", None, None, "2"), (None, "Act", None, None, "3")], "kb string, t string, n string, d date, id string")
+    got = evidence.title_match(refs, inst, "kb", "t", "n", "t", "n", "d", "id")
+    assert {(r.kb, r.t): (r.match, r.score) for r in got.collect()} == {("k", "Act"): ("2", 50), ("k", "The Pier Act"): ("1", 50), ("z", "Act"): (None, None)}
