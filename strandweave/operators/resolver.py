@@ -43,23 +43,26 @@ def resolve(questions: DataFrame, instruments: DataFrame, provisions: DataFrame,
     relation, review_status, of instruments. A question that names no family, number or
     provision matches nothing; what does not hold on its day is then excluded throughout.
     """
-    i = instruments
+    # A family's name is a long expression that every step names again, so instruments are written once as well. Neither they nor
+    # questions have a bound, and files are a fraction of what they hold in memory: their joins are merged, never broadcast.
+    kept = lambda df, label: cut(df, f"resolver-{label}").hint("merge")
+    i = kept(instruments.select("instrument_id", "doc_id", "family", "base_title", "official_number", "version", "document_class", "version_role", "status", "effective_from", "effective_to"), "instruments")
     q = questions.select("q", "question", compact(F.col("question")).alias("_c"), "as_of", F.coalesce("historical", F.lit(False)).alias("historical"), F.transform(provision_refs(F.col("question")), lambda r: compact(r["number"])).alias("refs"))
-    names = family_names(i)
+    names = kept(family_names(i), "names")
     said = containing(q.select("q", "_c"), "_c", names, "form", widths=(16, LEAST)).unionByName(containing(names, "form", q.select("q", "_c"), "_c", widths=(16, 1)).select("q", "_c", "family", "form", "own"))
     # Each step is named by several later ones, so it is written once.
-    family = cut(said.groupBy("q", "family").agg(F.max("own").alias("own")), "resolver-families")
+    family = kept(said.groupBy("q", "family").agg(F.max("own").alias("own")), "families")
     numbered = containing(q.select("q", "question"), "question", i.filter(F.length("official_number") > 0).select("instrument_id", "official_number"), "official_number", widths=(5, 1)).select("q", "instrument_id").distinct()
-    numbered = cut(numbered, "resolver-numbers")
+    numbered = kept(numbered, "numbers")
     labelled = containing(q.select("q", F.lower("question").alias("_l")), "_l", i.filter(F.length("version") > 0).select(F.lower("version").alias("_v")).distinct(), "_v", widths=(1,)).select("q")
     version = numbered.select("q").unionByName(labelled).distinct().withColumn("versioned", F.lit(True))
     has_family = family.select("q").distinct().withColumn("named", F.lit(True))
-    q = q.join(version, "q", "left").join(has_family, "q", "left")
+    q = q.hint("merge").join(version, "q", "left").hint("merge").join(has_family, "q", "left")
     q = q.withColumn("family_only", F.coalesce("named", F.lit(False)) & F.coalesce(~F.col("versioned"), F.lit(True)))
 
     holds = valid_on(F.col("as_of"), F.col("status"), F.col("effective_from"), F.col("effective_to"))
-    asked = cut(q.select("q", "as_of", "historical", "refs", "family_only", "named"), "resolver-questions")
-    whole = cut(i.filter("document_class = 'consolidated'").join(family, "family").join(asked, "q").filter(holds), "resolver-editions")
+    asked = kept(q.select("q", "as_of", "historical", "refs", "family_only", "named"), "questions")
+    whole = kept(i.filter("document_class = 'consolidated'").join(family, "family").join(asked, "q").filter(holds), "editions")
     latest = F.coalesce(F.col("version_role") == "latest_consolidated", F.lit(False))
 
     def chosen(rows: DataFrame, *group: str) -> DataFrame:
@@ -68,28 +71,28 @@ def resolve(questions: DataFrame, instruments: DataFrame, provisions: DataFrame,
         kept = rows.withColumn("_any", F.max(latest.cast("int")).over(w)).filter((F.col("_any") == 0) | latest)
         return kept.withColumn("n", F.count("*").over(w)).select("q", "instrument_id", "n")
 
-    first = cut(chosen(whole.filter("family_only"), "q", "family"), "resolver-first")
+    first = kept(chosen(whole.filter("family_only"), "q", "family"), "first")
     ambiguous1 = first.filter("n > 1").select("q").distinct()
     preferred1 = first.filter("n = 1").select("q", "instrument_id")
     open_ = asked.join(preferred1.select("q"), "q", "left_anti").join(ambiguous1, "q", "left_anti")
     explicit = i.join(family.filter("own"), "family").select("q", "instrument_id")
     fall = explicit.join(open_.filter("family_only").select("q"), "q", "left_semi")
     plain = explicit.unionByName(numbered).join(asked.filter("NOT family_only").select("q"), "q", "left_semi")
-    matched = cut(preferred1.unionByName(fall).unionByName(plain).distinct(), "resolver-matched")
+    matched = kept(preferred1.unionByName(fall).unionByName(plain).distinct(), "matched")
 
     # Nothing named: the provisions that carry the number, or the one current consolidation.
     bare = asked.filter(F.size("refs") > 0).join(matched.select("q"), "q", "left_anti").join(ambiguous1, "q", "left_anti")
     by_number = bare.select("q", F.explode("refs").alias("_n")).join(provisions.select("doc_id", compact(F.col("number")).alias("_n")), "_n").join(i.select("doc_id", "instrument_id"), "doc_id").select("q", "instrument_id").distinct()
-    second = cut(chosen(whole.join(bare.filter("named").select("q"), "q", "left_semi"), "q"), "resolver-second")
+    second = kept(chosen(whole.join(bare.filter("named").select("q"), "q", "left_semi"), "q"), "second")
     ambiguous2 = second.filter("n > 1").select("q").distinct()
     preferred2 = second.filter("n = 1").select("q", "instrument_id")
     by_number = by_number.join(second.select("q"), "q", "left_anti")
     matched = matched.unionByName(by_number).unionByName(preferred2)
     still = bare.join(by_number.select("q"), "q", "left_anti").join(second.select("q"), "q", "left_anti")
     days = still.select("as_of").distinct()
-    sole = i.filter(latest).join(days).filter(holds).groupBy("as_of").agg(F.count("*").alias("_n"), F.min("instrument_id").alias("instrument_id")).filter("_n = 1")
+    sole = i.filter(latest).join(F.broadcast(days)).filter(holds).groupBy("as_of").agg(F.count("*").alias("_n"), F.min("instrument_id").alias("instrument_id")).filter("_n = 1")
     preferred3 = still.join(sole, "as_of").select("q", "instrument_id")
-    matched = cut(matched.unionByName(preferred3).distinct(), "resolver-all")
+    matched = kept(matched.unionByName(preferred3).distinct(), "all")
     preferred = preferred1.unionByName(preferred2).unionByName(preferred3).distinct()
 
     hops = relations.filter("review_status = 'verified'")
@@ -108,7 +111,7 @@ def resolve(questions: DataFrame, instruments: DataFrame, provisions: DataFrame,
         strict = asked.filter("NOT historical")
         swept = strict.join(matched.select("q"), "q", "left_anti").select("q", "as_of")
         # What holds is the same for all questions of one day: few days meet all instruments, then the questions join by day.
-        ended = facts.join(swept.select("as_of").distinct()).filter(~holds).select("as_of", "doc_id", "instrument_id")
+        ended = facts.join(F.broadcast(swept.select("as_of").distinct())).filter(~holds).select("as_of", "doc_id", "instrument_id")
         out = role(visited.filter("NOT _holds AND NOT historical"), "excluded").unionByName(role(swept.join(ended, "as_of"), "excluded"))
         old = family.join(preferred.select("q"), "q", "left_semi").join(facts, "family").join(strict, "q").filter(~holds)
         roles = roles.unionByName(out).unionByName(role(old, "excluded"))
