@@ -27,7 +27,6 @@ from collections.abc import Iterator
 from functools import lru_cache
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -50,6 +49,8 @@ LENGTH_STEP, LENGTHS = 1.04, 32
 #: Bits of the table that tells which texts are in a pair: 4 MB, whatever the corpus holds.
 MENTIONED = 1 << 25
 SLICE = 65_536
+#: Signs of the texts that are taken apart at once: more would leave the processor's cache, and their arrays be given by the system anew each time.
+SIGNS = 16_384
 _rng = np.random.RandomState(20_011)
 _MUL = _rng.randint(1, 2**31, RING * SYMBOLS).astype(np.uint32) * np.uint32(2) + np.uint32(1)
 _ADD = _rng.randint(0, 2**31, RING * SYMBOLS).astype(np.uint32)
@@ -71,16 +72,30 @@ def run_hashes(codes: np.ndarray) -> np.ndarray:
     return (h >> np.uint64(32)).astype(np.uint32)
 
 
-def sketches(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-    """(symbols, runs) of texts of at least four signs: one row of minhash symbols each, and how many runs it has."""
-    sizes = np.array([len(t) for t in texts])
+def _slices(sizes: np.ndarray) -> Iterator[tuple[int, int]]:
+    """(first, end) of neighbouring texts of up to ``SIGNS`` signs together; a longer text stands alone."""
+    ends, a = np.cumsum(sizes), 0
+    while a < len(sizes):
+        b = max(a + 1, int(np.searchsorted(ends, (ends[a - 1] if a else 0) + SIGNS, side="right")))
+        yield a, b
+        a = b
+
+
+def _told_apart(texts: list[str], sizes: np.ndarray) -> np.ndarray:
+    """Hashes of the runs of texts, text by text; a run that comes again has another."""
     codes = np.frombuffer("".join(texts).encode("utf-32-le", "replace"), np.uint32)
     of = np.repeat(np.arange(len(texts), dtype=np.uint64), sizes)
     whole = of[:-3] == of[3:]
     key = np.sort(of[:-3][whole] << np.uint64(32) | run_hashes(codes)[whole])
     at = np.arange(len(key))
     again = at - np.maximum.accumulate(np.where(np.r_[True, key[1:] != key[:-1]], at, 0))
-    h = key.astype(np.uint32) ^ again.astype(np.uint32) * np.uint32(0x9E3779B1)
+    return key.astype(np.uint32) ^ again.astype(np.uint32) * np.uint32(0x9E3779B1)
+
+
+def sketches(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """(symbols, runs) of texts of at least four signs: one row of minhash symbols each, and how many runs it has."""
+    sizes = np.array([len(t) for t in texts])
+    h = np.concatenate([_told_apart(texts[a:b], sizes[a:b]) for a, b in _slices(sizes)])
     runs = sizes - RUN + 1
     ends = np.cumsum(runs)
     out = np.full((RING * SYMBOLS, len(texts)), 0xFFFFFFFF, np.uint32)
@@ -202,6 +217,49 @@ def share(a: str | None, b: str | None) -> float:
     return sum(min(n, large[g]) for g, n in small.items() if g in large) / max(x, y)
 
 
+def _run_ids(codes: np.ndarray) -> np.ndarray:
+    """32-bit numbers of the runs of a string of code points: equal just where the runs are."""
+    present = np.zeros(int(codes.max()) + 1, bool)
+    present[codes] = True
+    signs = np.flatnonzero(present)
+    numbers = np.empty(len(present), np.uint32)
+    numbers[signs] = np.arange(len(signs), dtype=np.uint32)
+    sign = numbers[codes]
+    if len(signs) <= 256:
+        return sign[:-3] << np.uint32(24) | sign[1:-2] << np.uint32(16) | sign[2:-1] << np.uint32(8) | sign[3:]
+    ids = sign.astype(np.uint64)
+    for step in (1, 2):  # numbers of two signs, then of two such numbers
+        ids = np.unique(ids[:-step] * (ids.max() + np.uint64(1)) + ids[step:], return_inverse=True)[1].astype(np.uint64)
+    return ids.astype(np.uint32)
+
+
+def _common_runs(left: list[str], right: list[str], sizes: np.ndarray) -> np.ndarray:
+    """Runs in common, counted with repetition, of pairs of texts of at least four signs."""
+    codes = np.frombuffer("".join([t for pair in zip(left, right, strict=True) for t in pair]).encode("utf-32-le", "surrogatepass"), np.uint32)
+    of = np.repeat(np.arange(2 * len(left), dtype=np.uint64), sizes.ravel())
+    at, whole = of[:-3], of[:-3] == of[3:]
+    # A run is its pair, its number and, in the lowest bit, the side it stands on.
+    key = np.sort((at >> np.uint64(1) << np.uint64(33) | _run_ids(codes).astype(np.uint64) << np.uint64(1) | at & np.uint64(1))[whole])
+    run = key >> np.uint64(1)
+    last = np.flatnonzero(np.r_[run[1:] != run[:-1], True])
+    on_right = np.diff(np.cumsum(key & np.uint64(1), dtype=np.int64)[last], prepend=0)
+    on_left = np.diff(last, prepend=-1) - on_right
+    return np.bincount((run[last] >> np.uint64(32)).astype(np.int64), weights=np.minimum(on_left, on_right), minlength=len(left))
+
+
+def shares(left: list[str | None], right: list[str | None]) -> np.ndarray:
+    """``share`` of every pair of two lists, counted for a slice of them at once."""
+    sizes = np.array([(len(x or ""), len(y or "")) for x, y in zip(left, right, strict=True)], np.int64).reshape(-1, 2)
+    out, counted = np.zeros(len(left)), np.flatnonzero(sizes.min(axis=1) >= RUN)
+    for i in np.flatnonzero(sizes.min(axis=1) < RUN):
+        out[i] = share(left[i], right[i])
+    for a, b in _slices(sizes[counted].sum(axis=1)):
+        part = counted[a:b]
+        common = _common_runs([left[i] for i in part], [right[i] for i in part], sizes[part])
+        out[part] = common / (sizes[part].max(axis=1) - RUN + 1)
+    return out
+
+
 def text_keys(df: DataFrame, text: str, *group: str) -> DataFrame:
     """Adds ``bare`` and ``text_key``; texts are compared within equal values of ``group`` only."""
     kept = df.filter(F.col(text).isNotNull()).withColumn("bare", bare(F.col(text)))
@@ -216,13 +274,13 @@ def similar_texts(keyed: DataFrame, least: float) -> DataFrame:
     both = pairs.join(texts, F.col("a") == F.col("_k")).select("a", "b", F.col("_t").alias("_ta"))
     both = both.join(texts, F.col("b") == F.col("_k")).select("a", "b", "_ta", F.col("_t").alias("_tb"))
 
-    def check(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            got = [share(x, y) for x, y in zip(batch["_ta"], batch["_tb"], strict=True)]
-            out = batch[["a", "b"]].assign(share=got)
-            yield out[out["share"] >= least]
+            got = shares(batch.column("_ta").to_pylist(), batch.column("_tb").to_pylist())
+            out = pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b"), pa.array(got)], ["a", "b", "share"])
+            yield out.filter(pa.array(got >= least))
 
-    return both.mapInPandas(check, "a long, b long, share double")
+    return both.mapInArrow(check, "a long, b long, share double")
 
 
 def near_copies(df: DataFrame, key: str, text: str, table: str, least: float = 0.7) -> DataFrame:

@@ -1,4 +1,5 @@
 import random
+import time
 from collections import Counter
 
 from strandweave.llm import nearcopies as N
@@ -73,3 +74,41 @@ def test_pairs_near_the_limit_and_with_repeated_runs(spark):
     got = {(r.id_a, r.id_b) for r in N.near_copies(spark.createDataFrame(rows, "id string, t string").selectExpr("'x' AS tab", "id", "t"), "id", "t", "tab", 0.695).collect()}
     assert got <= want | {("sa", "sb")} and ("sa", "sb") in got
     assert len(want & got) >= 0.975 * len(want)
+
+
+def test_shares_of_many_pairs_are_those_of_single_pairs():
+    rng, left, right = random.Random(3), [None, "", "abc", "abc", "x" * 20_000], ["abcd", "abcd", "abc", "abcd", "x" * 16_000]
+    for signs in ("ab", "กขคงำ่ e", [chr(0x4E00 + i) for i in range(3000)], "é\U0010ffff\U0001f600\0"):
+        text = lambda n: "".join(rng.choice(signs) for _ in range(n))  # noqa: B023, E731
+        for _ in range(150):
+            x = text(rng.choice([3, 4, 5, 40, 300]))
+            left.append(x)
+            right.append(x[len(x) // 3 :] + text(rng.randint(0, 90)))
+    assert N.shares(left, right).tolist() == [N.share(x, y) for x, y in zip(left, right, strict=True)]
+    assert len(N.shares([], [])) == 0
+
+
+def test_shares_take_less_time_than_single_pairs():
+    rng = random.Random(4)
+    left = [" ".join(rng.choices(WORDS, k=130)) for _ in range(600)]
+    right = [t[60:] + t[:60] for t in left]
+
+    def seconds(count):
+        N._counts.cache_clear()
+        start = time.process_time()
+        count()
+        return time.process_time() - start
+
+    one = min(seconds(lambda: [N.share(x, y) for x, y in zip(left, right, strict=True)]) for _ in range(3))
+    assert min(seconds(lambda: N.shares(left, right)) for _ in range(3)) < one / 2
+
+
+def test_a_sketch_does_not_depend_on_the_texts_beside_it(monkeypatch):
+    rng = random.Random(6)
+    texts = ["".join(rng.choices("abกขé漢\U0001f600", k=n)) for n in (4, 5, 300, 20_000, 4, 900, 16_384, 7)]
+    symbols, runs = N.sketches(texts)
+    assert runs.tolist() == [len(t) - 3 for t in texts]
+    assert all(symbols[i].tolist() == N.sketches([t])[0][0].tolist() for i, t in enumerate(texts))
+    monkeypatch.setattr(N, "SIGNS", 10)
+    assert (N.sketches(texts)[0] == symbols).all()
+    assert N.shares(texts, texts[::-1]).tolist() == [N.share(x, y) for x, y in zip(texts, texts[::-1], strict=True)]
